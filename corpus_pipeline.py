@@ -16,14 +16,14 @@ from cohortix.llm.near_dedup import near_dedup
 from cohortix.llm.packing import packed_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text is rejected whose cosine with every language's prototype is below this: no language is recognised.
-MIN_COSINE = 0.02
+#: A text is rejected whose cosine with every language's prototype is no larger than this: no language is recognised.
+MIN_COSINE = 0.0
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is recognised; null texts and those without letters go."""
     model = fit(docs.where(~held_out("doc_id")))
-    return language_id(docs.select(COLUMNS), model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_COSINE)).select(COLUMNS)
+    return language_id(docs.select(COLUMNS), model).where((F.col("lang_pred") != "und") & (F.col("score") > MIN_COSINE)).select(COLUMNS)
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
