@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import matrix_queries, network_queries, stat_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = matrix_queries.QUERIES | stat_queries.QUERIES | network_queries.QUERIES
+ORACLE_SQL = matrix_queries.ORACLE_SQL | stat_queries.ORACLE_SQL | network_queries.ORACLE_SQL
