@@ -129,3 +129,24 @@ def resolve_names(names: DataFrame, labels: DataFrame) -> DataFrame:
     order = Window.partitionBy("name").orderBy(F.desc("_part"), F.desc("_len"), "label")
     best = both.withColumn("_k", F.row_number().over(order)).where("_k = 1").select("name", "label")
     return names.select("name").distinct().join(best, "name", "left")
+
+
+def resolve_with_mapping(names: DataFrame, labels: DataFrame, mapping: list[tuple[str, str]], side: list[tuple[str, str | None]] = []) -> DataFrame:  # noqa: B006
+    """(name, label): resolve_names() of the mapped name, else of the plain name, else of the name without its side tokens; the first that is found."""
+    plain = names.select("name").distinct().withColumn("_m", apply_mapping(clean_key(F.col("name")), mapping))
+    bare = F.col("name")
+    for key, kind in side:
+        bare = remove_affix(bare, key, kind)
+    plain = plain.withColumn("_b", bare)
+    out = plain
+    for c in ("_m", "name", "_b"):
+        found = resolve_names(plain.select(F.col(c).alias("name")).distinct(), labels)
+        out = out.join(found.select(F.col("name").alias(c), F.col("label").alias(f"{c}_label")), c, "left")
+    return out.select("name", F.coalesce("_m_label", "name_label", "_b_label").alias("label"))
+
+
+def check_one_to_one(resolved: DataFrame) -> None:
+    """Each label may be resolved from one name only."""
+    twice = resolved.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"labels of several names: {sorted(r['label'] for r in twice)}")

@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -201,3 +201,39 @@ def volume_resolution(voxels: DataFrame) -> DataFrame:
     """(resolution): 2 mm where the largest voxel index is 76 or less, 1.6 mm to 95, else 1 mm. voxels: (i, j, k)."""
     top = voxels.agg(F.max(F.greatest("i", "j", "k")).alias("m"))
     return top.select(F.when(F.col("m") <= 76, 2.0).when(F.col("m") <= 95, 1.6).otherwise(1.0).alias("resolution"))
+
+
+# Grayordinates: one vector of values by position, with an index (pos, structure, vertex, i, j, k) that says where each belongs.
+
+
+def surface_values(values: DataFrame, index: DataFrame, structure: str, n_vertices: int) -> DataFrame:
+    """(vertex, v) of all vertices of one surface: values of its positions, 0 elsewhere (the medial wall)."""
+    spark = values.sparkSession
+    known = index.where(F.col("structure") == structure).select("pos", "vertex").join(values, "pos")
+    return spark.range(n_vertices).select(F.col("id").alias("vertex")).join(known, "vertex", "left").select("vertex", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def volume_values(values: DataFrame, index: DataFrame) -> DataFrame:
+    """(i, j, k, structure, v) of the positions that are voxels."""
+    return index.where("i is not null").join(values, "pos").select("i", "j", "k", "structure", "v")
+
+
+def parcels_by_position(labels: DataFrame, index: DataFrame, cortex: list[str]) -> DataFrame:
+    """(pos, label): a position on a surface takes its vertex's label (structure, vertex, label); every other structure one label more than the largest, in the order of its first position."""
+    on = index.where(F.col("structure").isin(cortex)).join(labels, ["structure", "vertex"]).select("pos", F.col("label").cast("int").alias("label"))
+    rest = index.where(~F.col("structure").isin(cortex))
+    order = rest.groupBy("structure").agg(F.min("pos").alias("first"))
+    order = order.select("structure", F.row_number().over(Window.orderBy("first")).alias("_n"))
+    top = labels.agg(F.max("label").alias("top"))
+    other = rest.join(order, "structure").crossJoin(F.broadcast(top)).select("pos", (F.col("top") + F.col("_n")).cast("int").alias("label"))
+    return on.unionByName(other)
+
+
+def resample_surface(values: DataFrame, old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame], radius: float = 100.0) -> DataFrame:
+    """(new, v): values (old, v) of one sphere on another, by adaptive barycentric area weights. old, new: (vertices, triangles)."""
+    (ov, ot), (nv, nt) = (change_radius(old[0], radius), old[1]), (change_radius(new[0], radius), new[1])
+    forward = nearest_triangle_weights(nv.withColumnRenamed("vertex", "new"), ov, ot)
+    back = nearest_triangle_weights(ov.withColumnRenamed("vertex", "new"), nv, nt)
+    reverse = back.select(F.col("new").alias("old"), F.col("old").alias("new"), "w")
+    weights = adaptive_area_weights(forward, reverse, vertex_areas(ov, ot).withColumnRenamed("vertex", "old"), vertex_areas(nv, nt).withColumnRenamed("vertex", "new"))
+    return resample(values, weights)

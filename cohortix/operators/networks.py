@@ -246,3 +246,79 @@ def group_difference(long: DataFrame, reference: DataFrame, pairs: DataFrame | N
     return orthogonal_distance(long, fits)
 
 
+
+
+def weighted_distances(edges: DataFrame, source: int, most: int = 1000) -> DataFrame:
+    """(node, dist): least sums of weights from source over undirected edges (i, j, w), w >= 0; unreachable nodes are absent.
+
+    Each turn relaxes the edges of nodes whose distance fell, until none does."""
+    both = edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).persist()
+    known = edges.sparkSession.createDataFrame([(source, 0.0)], "node long, dist double")
+    front = known
+    for _ in range(most):
+        new = front.join(both, F.col("node") == F.col("i")).groupBy(F.col("j").cast("long").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
+        better = new.join(known, "node", "left").where(F.col("dist").isNull() | (F.col("new") < F.col("dist"))).select("node", F.col("new").alias("dist")).persist()
+        if better.isEmpty():
+            break
+        known = known.unionByName(better).groupBy("node").agg(F.min("dist").alias("dist")).persist()
+        front = better
+    return known
+
+
+def nearest_nodes(edges: DataFrame, node: int, k: int) -> DataFrame:
+    """(node, dist) of the k nodes nearest to one by weighted distance, ties by number."""
+    return weighted_distances(edges, node).where(F.col("node") != node).orderBy("dist", "node").limit(k)
+
+
+def top_nodes(edges: DataFrame, k: int) -> DataFrame:
+    """(node, degree) of the k nodes of largest |weighted degree|, ties by number."""
+    return weighted_degrees(edges).orderBy(F.desc(F.abs("degree")), "node").limit(k)
+
+
+def connecting_threshold(edges: DataFrame, cut: float, ratio: float = 1.0, step: float = 0.01, kind: str = "abs", most_nodes: int = 20_000) -> DataFrame:
+    """(steps, threshold): how often cut has to be relaxed by step until the largest component holds a share of ratio of all nodes.
+
+    edges: (i, j, w) of one graph of bounded size, joined strongest first until they hold enough together."""
+
+    def joined(key, e: pd.DataFrame) -> pd.DataFrame:
+        strength = e["w"].abs() if kind == "abs" else e["w"] if kind == "pos" else -e["w"]
+        order = np.argsort(-strength.to_numpy(), kind="stable")
+        nodes = np.unique(np.concatenate((e["i"], e["j"])))
+        if len(nodes) > most_nodes:
+            raise ValueError(f"a graph of more than {most_nodes} nodes")
+        root, size = {n: n for n in nodes.tolist()}, dict.fromkeys(nodes.tolist(), 1)
+
+        def find(n):
+            while root[n] != n:
+                root[n] = root[root[n]]
+                n = root[n]
+            return n
+
+        goal = cut if kind != "neg" else -cut
+        for o in order:
+            a, b = find(int(e["i"].iloc[o])), find(int(e["j"].iloc[o]))
+            if a != b:
+                root[b], size[a] = a, size[a] + size[b]
+                if size[a] >= ratio * len(nodes) - 1e-9:
+                    goal = min(goal, float(strength.iloc[o]))
+                    break
+        first = cut if kind != "neg" else -cut
+        steps = max(0, int(np.ceil((first - goal) / step - 1e-9)))
+        return pd.DataFrame({"steps": [steps], "threshold": [cut - steps * step if kind != "neg" else cut + steps * step]})
+
+    return edges.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda key, e: joined(key, e), "steps int, threshold double")
+
+
+def significant_distances(distances: DataFrame, long: DataFrame, reference: DataFrame, p_threshold: float) -> DataFrame:
+    """distances of group_difference(), null for pairs whose correlation in the reference group has a p above p_threshold."""
+    from cohortix.functions import special
+
+    group = long.join(reference.select("subject"), "subject", "left_semi")
+    n = reference.count()
+
+    def with_p(batches):
+        for b in batches:
+            yield pd.DataFrame({"i": b["i"], "j": b["j"], "p": special.pearson_p(b["w"], np.full(len(b), n))})
+
+    p = correlation_edges(group).mapInPandas(with_p, "i int, j int, p double")
+    return distances.join(p, ["i", "j"]).withColumn("distance", F.when(F.col("p") <= p_threshold, F.col("distance"))).drop("p")

@@ -29,6 +29,13 @@ class Design:
     group: np.ndarray  # variance groups, 0 to n - 1
     block: np.ndarray  # exchangeability blocks
     residual_diagonal: np.ndarray
+    flips: bool = False  # the tested variable is constant: signs flip, and nobody moves
+
+    def signs(self, perm: int, seed: int) -> np.ndarray:
+        """+1 or -1 of each subject in a permutation, as blocks.sign_flips() gives them."""
+        if perm == 0:
+            return np.ones(len(self.subjects))
+        return np.array([1.0 - 2.0 * (int(hashlib.md5(f"{seed}:{perm}:{s}".encode()).hexdigest()[0], 16) % 2) for s in self.subjects.tolist()])
 
     def order(self, perm: int, seed: int) -> np.ndarray:
         """Source of each subject in a permutation: shuffled inside blocks; 0 is the identity."""
@@ -58,14 +65,15 @@ def design(subjects: DataFrame, tested: str, confounds: list[str], group: str, b
         raise ValueError("the design is too large for one task")
     rows.sort(key=lambda r: r["subject"])
     z = np.array([[r[c] for c in confounds] for r in rows], dtype=float).reshape(len(rows), len(confounds))
-    if intercept:
+    flips = len({r["x"] for r in rows}) == 1
+    if intercept and not flips:
         z = np.concatenate((np.ones((len(rows), 1)), z), axis=1)
     basis = thin_basis(z)
     x = np.array([r["x"] for r in rows])
     x = x - basis @ (basis.T @ x)
     squares = x @ x
     diagonal = 1 - (basis**2).sum(axis=1) - (x * x / squares if squares > 0 else 0)
-    return Design(np.array([r["subject"] for r in rows]), x, basis, np.unique(np.array([r["_g"] for r in rows]), return_inverse=True)[1], np.unique(np.array([r["_b"] for r in rows]), return_inverse=True)[1], diagonal)
+    return Design(np.array([r["subject"] for r in rows]), x, basis, np.unique(np.array([r["_g"] for r in rows]), return_inverse=True)[1], np.unique(np.array([r["_b"] for r in rows]), return_inverse=True)[1], diagonal, flips)
 
 
 def v_scores(y: np.ndarray, d: Design) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +96,20 @@ def v_scores(y: np.ndarray, d: Design) -> tuple[np.ndarray, np.ndarray]:
     return v, df
 
 
-def scored(long: DataFrame, d: Design, n_perm: int, seed: int = 0, use_z: bool = False, block_size: int = 4096) -> DataFrame:
-    """(perm, feat, v) of every feature, observed (perm 0) and permuted; use_z: as normal scores."""
+def t_scores(y: np.ndarray, d: Design) -> tuple[np.ndarray, np.ndarray]:
+    """(t, df) of each column of y: ordinary least squares, one variance for all."""
+    y = y - d.basis @ (d.basis.T @ y)
+    squares = d.x @ d.x
+    slope = d.x @ y / squares
+    rest = y - np.outer(d.x, slope)
+    df = len(y) - d.basis.shape[1] - 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return slope / np.sqrt((rest * rest).sum(axis=0) / df / squares), np.full(y.shape[1], float(df))
+
+
+def scored(long: DataFrame, d: Design, n_perm: int, seed: int = 0, use_z: bool = False, block_size: int = 4096, statistic: str = "v") -> DataFrame:
+    """(perm, feat, v) of every feature, observed (perm 0) and permuted; statistic v or t; use_z: as normal scores."""
+    kind = {"v": v_scores, "t": t_scores}[statistic]
 
     def score(block: pd.DataFrame) -> pd.DataFrame:
         at = pd.Series(np.arange(len(d.subjects)), index=d.subjects)
@@ -100,7 +120,7 @@ def scored(long: DataFrame, d: Design, n_perm: int, seed: int = 0, use_z: bool =
         rest = y - fitted
         out = []
         for p in range(n_perm + 1):
-            v, df = v_scores(rest[d.order(p, seed)], d)
+            v, df = kind(rest * d.signs(p, seed)[:, None] if d.flips else rest[d.order(p, seed)], d)
             out.append(pd.DataFrame({"perm": np.int32(p), "feat": feats.astype(np.int32), "v": special.g_to_z(v, df) if use_z else v}))
         return pd.concat(out)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortix.functions import special
 
 from .blocks import shuffle_key
+from .stats import residualize
 
 
 def split_half(subjects: DataFrame, seed: int = 2, stratify: str | None = None, group: str | None = None) -> DataFrame:
@@ -22,12 +23,20 @@ def split_half(subjects: DataFrame, seed: int = 2, stratify: str | None = None,
     return subjects.join(halves, keys).select("subject", "half")
 
 
-def reliability_curve(long: DataFrame, halves: DataFrame, sizes: list[int], repeats: int, seed: int = 0, threshold: float | None = None) -> DataFrame:
+def reliability_curve(long: DataFrame, halves: DataFrame, sizes: list[int], repeats: int, seed: int = 0, threshold: float | None = None, covariates: DataFrame | None = None, names: list[str] = [], scores: DataFrame | None = None) -> DataFrame:  # noqa: B006
     """(n, repeat, r, n_feats): correlation of the base map of half 1 with that of n subjects of half 2, drawn in a shuffled order.
 
-    Maps are Cohen's d; features without one in either map, or with a base |d| of threshold or less, don't count."""
+    Maps are Cohen's d, or correlations with scores (subject, score); features without one in either map, or with a base
+    of |threshold| or less, don't count. covariates (subject, names): each half is residualized on them, once."""
     spark = long.sparkSession
+    if covariates is not None:
+        split = [long.join(halves.where(F.col("half") == h), "subject", "left_semi") for h in (1, 2)]
+        parts = [residualize(p, covariates, names) for p in split]
+        long = parts[0].unionByName(parts[1])
     effect = F.try_divide(F.avg("v"), F.stddev_pop("v"))
+    if scores is not None:
+        long = long.join(scores.select("subject", F.col("score").cast("double").alias("score")), "subject")
+        effect = F.corr("v", "score")
     base = long.join(halves.where("half = 1"), "subject").groupBy("feat").agg(effect.alias("base"))
     draws = spark.createDataFrame([(n, r) for n in sizes for r in range(repeats)], "n int, repeat int")
     pool = halves.where("half = 2").select("subject").crossJoin(F.broadcast(draws))

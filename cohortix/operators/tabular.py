@@ -115,3 +115,30 @@ def merge_hemispheres(left: DataFrame, right: DataFrame, threshold: float = 0.75
     raised = raised.select((F.col("feat") + F.col("size")).alias("feat"), F.when(shift, F.col("label") + F.col("top") + 1).otherwise(F.col("label")).alias("label"))
     out = left.select("feat", "label").unionByName(raised)
     return clean_labels(out) if clean else out
+
+
+def roi_series(df: DataFrame) -> DataFrame:
+    """(name, value) of a table of regions: of two columns the last whose values are numbers is the value; of more, each column's mean under its name."""
+    if len(df.columns) > 2:
+        numbers = [c for c, kind in df.dtypes if kind in ("double", "float", "int", "bigint", "smallint", "tinyint")]
+        return df.agg(*[F.avg(c).alias(c) for c in numbers]).unpivot([], numbers, "name", "value")
+    if len(df.columns) != 2:
+        raise ValueError("a table of regions has a name and a value column")
+    text = df.agg(*[F.count_if(F.col(c).isNotNull() & F.expr(f"try_cast(CAST(`{c}` AS string) AS double)").isNull()).alias(c) for c in df.columns]).first().asDict()
+    fits = [c for c in df.columns if text[c] == 0]
+    if not fits:
+        raise ValueError("no column holds numbers")
+    value = fits[-1]
+    name = next(c for c in df.columns if c != value)
+    return df.select(F.col(name).cast("string").alias("name"), F.col(value).cast("double").alias("value"))
+
+
+def scale_fit(long: DataFrame) -> DataFrame:
+    """(feat, lo, hi): the range of each feature."""
+    return long.groupBy("feat").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+
+
+def scale_apply(long: DataFrame, fit: DataFrame) -> DataFrame:
+    """v scaled by the fitted range of its feature to 0..1 and clipped; a feature of one value becomes 0."""
+    s = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    return long.join(fit, "feat").withColumn("v", F.when(F.col("v").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), s)))).drop("lo", "hi")

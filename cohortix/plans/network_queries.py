@@ -289,3 +289,75 @@ def infer_space(spark, d):
 @query("SELECT CASE WHEN max(greatest(p_size, 60)) <= 76 THEN 2.0 WHEN max(p_size) <= 95 THEN 1.6 ELSE 1.0 END::DOUBLE AS resolution FROM part")
 def volume_resolution(spark, d):
     return geometry.volume_resolution(table(spark, d, "part").select(F.col("p_size").alias("i"), F.lit(60).alias("j"), F.lit(3).alias("k")))
+
+
+@query(M + ", f AS (SELECT j AS feat, min(w) AS lo, max(w) AS hi FROM m WHERE i % 2 = 0 GROUP BY j) SELECT i AS subject, j AS feat, round(least(1, greatest(0, (w - lo) / (hi - lo))), 6) + 0.0 AS v FROM m JOIN f ON j = feat")
+def minmax_scaled(spark, d):
+    from cohortix.operators import tabular
+
+    long = networks.full_matrix(edges(spark, d)).select(F.col("i").alias("subject"), F.col("j").alias("feat"), F.col("w").alias("v"))
+    return tabular.scale_apply(long, tabular.scale_fit(long.where("subject % 2 = 0"))).select("subject", "feat", r6("v").alias("v"))
+
+
+@query(C + " SELECT node, round(sum(w), 6) + 0.0 AS degree FROM (SELECT i AS node, w FROM c UNION ALL SELECT j, w FROM c) GROUP BY node ORDER BY abs(sum(w)) DESC, node LIMIT 10")
+def top_nodes(spark, d):
+    return networks.top_nodes(edges(spark, d), 10).withColumn("degree", r6("degree"))
+
+
+#: Distances over a ring of 12 nodes with chords, weights by rule.
+RING = "WITH RECURSIVE rg AS (SELECT range AS i, (range + 1) % 12 AS j, 1.0 + range % 3 AS w FROM range(12) UNION ALL SELECT range, (range + 5) % 12, 2.5 FROM range(0, 12, 4)), bo AS (SELECT i, j, w::DOUBLE AS w FROM rg UNION ALL SELECT j, i, w::DOUBLE FROM rg), wd(node, dist, n) AS (SELECT 0::BIGINT, 0::DOUBLE, 0 UNION SELECT j, dist + w, n + 1 FROM wd JOIN bo ON node = i WHERE n < 8)"
+
+
+@query(RING + " SELECT node, min(dist) AS dist FROM wd WHERE node <> 0 GROUP BY node ORDER BY min(dist), node LIMIT 6")
+def nearest_nodes(spark, d):
+    k = F.col("id")
+    ring = spark.range(12).select(k.alias("i"), ((k + 1) % 12).alias("j"), (1.0 + k % 3).cast("double").alias("w"))
+    chords = spark.range(0, 12, 4).select(k.alias("i"), ((k + 5) % 12).alias("j"), F.lit(2.5).alias("w"))
+    return networks.nearest_nodes(ring.unionByName(chords), 0, 6)
+
+
+@query()
+def connected_threshold(spark, d):
+    return networks.connecting_threshold(edges(spark, d), 0.9)
+
+
+@query()
+def significant_differences(spark, d):
+    long = matrix.index_slice(cohort(spark, d), 0, 6)
+    reference = table(spark, d, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("subject"))
+    return networks.significant_distances(networks.group_difference(long, reference), long, reference, 0.5).withColumn("distance", r6("distance"))
+
+
+#: Grayordinates by rule: 30 left vertices of 40, 10 voxels in two structures.
+IX = "ix AS (SELECT range AS pos, CASE WHEN range < 30 THEN 'left' WHEN range < 36 THEN 'thalamus' ELSE 'caudate' END AS structure, CASE WHEN range < 30 THEN range + range // 3 END AS vertex, CASE WHEN range >= 30 THEN (range % 4)::INT END AS i FROM range(40))"
+
+
+def _index(spark):
+    k = F.col("id")
+    s = F.when(k < 30, "left").when(k < 36, "thalamus").otherwise("caudate")
+    v, i = F.when(k < 30, k + F.floor(k / 3)), F.when(k >= 30, (k % 4).cast("int"))
+    return spark.range(40).select(k.alias("pos"), s.alias("structure"), v.alias("vertex"), i.alias("i"), i.alias("j"), i.alias("k"))
+
+
+@query(f"WITH {IX} SELECT v.range AS vertex, coalesce(pos * 1.5, 0)::DOUBLE AS v FROM range(40) v LEFT JOIN ix ON ix.vertex = v.range")
+def medial_wall_fill(spark, d):
+    return geometry.surface_values(spark.range(40).select(F.col("id").alias("pos"), (F.col("id") * 1.5).cast("double").alias("v")), _index(spark), "left", 40)
+
+
+@query(f"WITH {IX} SELECT i, i AS j, i AS k, structure, (pos * 1.5)::DOUBLE AS v FROM ix WHERE i IS NOT NULL")
+def subcortical_volume(spark, d):
+    return geometry.volume_values(spark.range(40).select(F.col("id").alias("pos"), (F.col("id") * 1.5).cast("double").alias("v")), _index(spark))
+
+
+@query(f"WITH {IX} SELECT pos, CASE structure WHEN 'left' THEN vertex % 5 WHEN 'thalamus' THEN 5 ELSE 6 END::INT AS label FROM ix")
+def parcels_by_position(spark, d):
+    labels = spark.range(40).select(F.lit("left").alias("structure"), F.col("id").alias("vertex"), (F.col("id") % 5).alias("label"))
+    return geometry.parcels_by_position(labels, _index(spark), ["left"])
+
+
+@query()
+def resampled_surface(spark, d):
+    v, t = grid(spark)
+    v = v.withColumn("z", F.col("z") + 10)
+    values = v.select(F.col("vertex").alias("old"), F.lit(3.0).alias("v"))
+    return geometry.resample_surface(values, (v, t), (v.withColumn("x", F.col("x") * 0.9 + 0.3), t)).withColumn("v", r6("v"))

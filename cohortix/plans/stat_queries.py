@@ -337,3 +337,20 @@ def mixed_model(spark, d):
 def longitudinal_means(spark, d):
     e = tabular.filter_events(table(spark, d, "events").select(F.col("user_id").alias("subject"), "event_type", "value"), "view", "event_type")
     return e.where("subject % 9 <> 0").groupBy("subject").agg(r6(F.avg("value")).alias("value"))
+
+
+@query(
+    f"WITH {E}, {SUBJECTS}, q AS (SELECT range AS perm FROM range(0, 6)), sg AS (SELECT perm, subject, CASE WHEN perm = 0 OR (strpos('0123456789abcdef', substr(md5('3:' || perm || ':' || subject), 1, 1)) - 1) % 2 = 0 THEN 1 ELSE -1 END AS s FROM su, q), "
+    "y AS (SELECT perm, feat, v * s AS y FROM e JOIN sg USING (subject)), t AS (SELECT perm, feat, avg(y) / (stddev_samp(y) / sqrt(count(*))) AS t FROM y GROUP BY perm, feat) SELECT CAST(perm AS INT) AS perm, round(max(abs(t)), 6) AS vmax FROM t WHERE perm > 0 GROUP BY perm"
+)
+def sign_flip_test(spark, d):
+    subjects = _subjects(spark, d).withColumn("one", F.lit(1.0))
+    model = permutation.design(subjects, "one", [], "label", "label")
+    return permutation.null_maxima(permutation.scored(cohort(spark, d), model, 5, seed=3, statistic="t")).select("perm", r6("vmax").alias("vmax"))
+
+
+@query()
+def rely_residual(spark, d):
+    halves = reliability.split_half(_subjects(spark, d))
+    c = covariates(spark, d)
+    return reliability.reliability_curve(cohort(spark, d), halves, [40], 2, covariates=c, names=["age"], scores=c.select("subject", F.col("site").alias("score"))).withColumn("r", r6("r"))

@@ -140,3 +140,32 @@ def catalog_lookup(files: DataFrame, keys: list[str], tokens: list[str]) -> Data
 def space_options(folders: DataFrame, reserved: list[str]) -> DataFrame:
     """(name) of reference folders that are spaces: none that start with `_`, none of the reserved."""
     return folders.where(~F.col("name").startswith("_") & ~F.col("name").isin(reserved))
+
+
+def decode_surface(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(coordinates, triangles) of a GIFTI surface or a FreeSurfer geometry file."""
+    if raw[:3] == b"\xff\xff\xfe":  # FreeSurfer triangles: two text lines, counts, big-endian coordinates and corners
+        at = raw.index(b"\n\n") + 2
+        nv, nt = struct.unpack(">2i", raw[at : at + 8])
+        xyz = np.frombuffer(raw, ">f4", 3 * nv, at + 8).reshape(nv, 3)
+        return xyz, np.frombuffer(raw, ">i4", 3 * nt, at + 8 + 12 * nv).reshape(nt, 3)
+    text = raw.decode("utf-8")
+    parts = re.findall(r"<DataArray\b.*?</DataArray>", text, re.S)
+    points = next(p for p in parts if "POINTSET" in p)
+    corners = next(p for p in parts if "TRIANGLE" in p)
+    return decode_gifti(points.encode()), decode_gifti(corners.encode())
+
+
+def load_surface(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, triangles) of one surface file: (vertex, x, y, z) and (tri, a, b, c)."""
+    raw = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    xyz, tri = decode_surface(raw)
+    vertices = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(xyz.tolist())], "vertex long, x double, y double, z double")
+    return vertices, spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(tri.tolist())], "tri long, a long, b long, c long")
+
+
+def both_hemispheres(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(subject, feat, v): features of the left side, then those of the right, of each subject."""
+    size = left.agg((F.max("feat") + 1).alias("_n"))
+    moved = right.crossJoin(F.broadcast(size)).select("subject", (F.col("feat") + F.col("_n")).alias("feat"), "v")
+    return left.select("subject", "feat", "v").unionByName(moved)
