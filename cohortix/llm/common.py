@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,36 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """From now on at most so many bytes go to a Python worker at once: its memory is bounded also where texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared folder: later plans read them from there, also after executors are lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """durable(df), read in parts of about so many rows where that makes fewer: a small table needs few tasks and files."""
+    out = durable(df)
+    return out.coalesce(max(1, -(-out.count() // rows)))
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of df as a Parquet table in the shared folder, and its path; compressed, and read by column. See discard()."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that no plan needs any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array, without copying, and the offset of each text; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -3,9 +3,10 @@
 Each shingle is hashed once: the top bits give its bin, and a bin keeps its least value (one permutation). An empty bin
 takes the value of the first bin that isn't empty in a probing order of its own (optimal densification). Bands of bins
 make buckets. Documents with equal shingle sets are one class, represented by the smallest id; in each bucket every
-representative is paired with the smallest only (a star), so pairs grow with the rows and not with their square. Pairs
-are confirmed on full shingle sets, the likeliest of each document first, and then those that would still join two
-components. Members whose pair was refused meet again in finer buckets, made of two bands.
+representative is paired with one of them only, the bucket's head (a star), so pairs grow with the rows and not with their
+square. Heads are drawn anew in each bucket, so that a document is compared with many others of a large group. Pairs are
+confirmed on full shingle sets, the likeliest of each document first, and then those that would still join two
+components. Where a bucket still holds several components, all its members meet again in finer buckets, of two bands.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_classes, durable, mix, shingles_of, slices, spread_join, text_bytes, words_of
+from .common import byte_classes, compact, discard, durable, mix, shingles_of, slices, small_batches, spread_join, stored, text_bytes, words_of
 
 SHINGLE = 5
 #: Linked if 100 x intersection >= PERCENT x union.
 PERCENT = 75
 BINS, BANDS = 128, 32
-#: Times that refused pairs meet again in finer buckets.
-ROUNDS = 2
+#: Times that buckets of several components are cut finer, each time with another second band.
+ROUNDS = 3
 
 _probes: np.ndarray | None = None
 
@@ -117,29 +118,29 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def stars(members: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, id, head): each member of a bucket with two or more, but the smallest, with the smallest."""
-    heads = members.groupBy(*keys).agg(F.min("id").alias("head"), F.max("id").alias("_last")).where("head < _last").drop("_last")
-    return spread_join(members, heads, keys).where("id <> head")
+    """(keys, id, head): each member of a bucket of two or more with its head; the head is that whose id, XORed with a hash of the keys, is least."""
+    salted = members.withColumn("_salt", F.xxhash64(*keys)).withColumn("_order", F.col("id").bitwiseXOR(F.col("_salt")))
+    heads = salted.groupBy(*keys).agg(F.min("_order").alias("_least"), F.max("_order").alias("_last")).where("_least < _last").drop("_last")
+    out = spread_join(salted, heads, keys).where("_order <> _least")
+    return out.withColumn("head", F.col("_least").bitwiseXOR(F.col("_salt"))).drop("_salt", "_order", "_least")
 
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, root) of every id with links (a, b) to the smallest id it reaches, but for the roots themselves.
 
-    Alternates two steps until nothing changes: every node hands its larger neighbours to its smallest one, then all its
-    smaller ones. Smallest neighbours are aggregated, and no neighbourhood is gathered."""
-    edges = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    state = None
+    Alternates two steps until only stars are left: every node hands its larger neighbours to its smallest one, then all
+    its smaller ones. Smallest neighbours are aggregated, and no neighbourhood is gathered."""
+    edges = compact(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(rounds):
+        ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+        if ends.groupBy("id").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 or leaf + centre > 1").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = spread_join(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = spread_join(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = spread_join(large, least, ["a"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = durable(small.where("a <> b").distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
+        edges = compact(small.where("a <> b").distinct())
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
@@ -155,37 +156,41 @@ def near_dedup(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     Documents without words have no shingles and are linked with nothing. Rows with equal ids are one document and stand
     or fall together; a row with null id belongs to no component (null) and is kept. An empty table gives an empty one."""
+    small_batches(documents.sparkSession)
     named = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     sketches = durable(named.select("id", sketched(F.col("text"), size).alias("s")).select("id", "s.*"))
-    classes = durable(sketches.where("id is not null and n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("head")))
-    heads = spread_join(sketches.where("id is not null"), classes.select("k1", "k2", "n", "head"), ["k1", "k2", "n"]).where("id = head").select("id", "bands")
-    members = heads.select("id", F.posexplode("bands").alias("band", "hash"))
-    met = stars(members, ["band", "hash"]).select("id", "head", "band", "hash")
-    met = durable(met)
-    pairs = durable(met.groupBy(F.col("id").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("shared")))
-    texts = named.where("id is not null")
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = texts.join(ends, "id", "left_semi")
-    first = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    links = durable(confirmed(first, texts, size, percent))
-    roots = components(links)
-    rest = rooted(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), roots)
-    links = durable(links.unionByName(confirmed(rest, texts, size, percent)))
-    roots = components(links)
-    bands = members.select("id", "band", F.col("hash").alias("other"))
-    for i in range(1, rounds + 1):
-        refused = rooted(met.select(F.col("id").alias("a"), F.col("head").alias("b"), "band", "hash"), roots)
-        finer = refused.select(F.col("a").alias("id"), "hash", F.pmod(F.col("band") + i, F.lit(BANDS)).alias("band")).join(bands, ["id", "band"])
-        met_again = durable(stars(finer.select("id", "hash", "other"), ["hash", "other"]).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
-        more = rooted(met_again.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), roots)
-        more = durable(more)
+    classes = durable(sketches.where("id is not null and n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("head"), F.min_by("bands", "id").alias("bands")))
+    members = classes.select(F.col("head").alias("id"), F.posexplode("bands").alias("band", "hash"))
+    met = durable(stars(members, ["band", "hash"]).select("id", "head", "band", "hash"))
+    pairs = compact(met.groupBy(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")).agg(F.count("*").alias("shared")))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts, path = stored(named.join(ends, "id", "left_semi"))
+    first = compact(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")))
+    roots = components(confirmed(first, texts, size, percent))
+
+    def tried(roots: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(roots, tried pairs) after confirming those of more that may join two components."""
+        more = compact(rooted(more, roots))
         if more.isEmpty():
-            continue
-        found = durable(confirmed(more, texts, size, percent))
-        pairs = pairs.select("a", "b").unionByName(more)
-        if not found.isEmpty():
-            links = durable(links.unionByName(found))
-            roots = components(links)
+            return roots, more
+        links = compact(confirmed(more, texts, size, percent))
+        if links.isEmpty():
+            return roots, more
+        return components(links.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))), more
+
+    roots, _ = tried(roots, pairs.select("a", "b").join(first, ["a", "b"], "left_anti"))
+    bands = classes.select(F.col("head").alias("id"), "bands")
+    known = pairs.select("a", "b")
+    for i in range(1, rounds + 1):
+        mixed = compact(rooted(met.select(F.col("id").alias("a"), F.col("head").alias("b"), "band", "hash"), roots).select("band", "hash").distinct())
+        if mixed.isEmpty():
+            break
+        finer = spread_join(members, mixed, ["band", "hash"]).join(bands, "id")
+        finer = finer.select("id", "hash", F.element_at("bands", F.pmod(F.col("band") + i, F.lit(BANDS)) + 1).alias("other"))
+        again = stars(finer, ["hash", "other"]).select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")).distinct()
+        roots, more = tried(roots, again.join(known, ["a", "b"], "left_anti"))
+        known = known.unionByName(more)
+    discard(documents.sparkSession, path)
     named_roots = classes.join(roots.select(F.col("id").alias("head"), "root"), "head", "left").select("k1", "k2", "n", F.coalesce("root", "head").alias("root"))
     out = spread_join(sketches.select("id", "n", "k1", "k2"), named_roots, ["k1", "k2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
