@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Comments, declarations, elements whose content is no markup, and tags; the last alternative takes tags with odd quotes.
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|noscript|template|textarea|iframe|svg|title|select|object|xmp)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
@@ -133,4 +135,5 @@ def html_extraction(pages: DataFrame, page: str = "html") -> DataFrame:
 
     Null and empty pages have an empty text. Rows are independent: repeated rows get equal texts, null ids and urls pass,
     an empty table stays empty. One pass, no shuffle."""
+    small_batches(pages.sparkSession)
     return pages.withColumn("text", extracted(F.col(page))).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 DIMENSIONS = 1024
 N = 3
 #: Bound of the training sample: about so many texts of a language, chosen by a hash of doc_id.
@@ -113,6 +115,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 
     The sample of a language holds about per_language texts, or all if it has fewer; the driver gets TRAIN_PARTS integer
     vectors for each language at most."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = (F.xxhash64(F.col("id").cast("string"), F.lit("sample")).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
@@ -182,6 +185,7 @@ def language_id(documents: DataFrame, model: Model, text: str = "text") -> DataF
 
     A null text or one without letters gets `und` and 0. Rows are independent: repeated rows get equal results, null ids
     pass, an empty table stays empty. Ties go to the first language in alphabetical order. One pass, no shuffle."""
+    small_batches(documents.sparkSession)
     return documents.withColumn("_language", predicted(F.col(text), model)).withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
 
 

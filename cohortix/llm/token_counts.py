@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 #: Characters before a chunk's end whose tokens may change when the text goes on: longer than every contraction, lookahead
@@ -129,6 +131,7 @@ def token_counts(documents: DataFrame, path: str, limit: int = 1024, text: str =
 
     Null and empty texts have 0 bytes and 0 tokens; rows are independent, so repeated rows and null ids pass unchanged; an
     empty table gives an empty one. One pass, no shuffle."""
+    small_batches(documents.sparkSession)
     return (
         documents.withColumn("n_bytes", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"))
         .withColumn("n_tokens", n_tokens(F.col(text), path, **chunking))
