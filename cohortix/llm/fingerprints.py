@@ -1,10 +1,10 @@
 """Operator 8: document fingerprints as invertible Bloom lookup sketches. DataFrame functions only.
 
-A text's units (sentences and lines) are digested to 64 bits. A sketch has buckets of 4 x 8 cells; a digest goes to one
-bucket, by its hash, and there to one cell of each of the four rows, where it is counted and XORed with the others, and
-so is its check value. Sketches of one size subtract cell by cell; what both hold vanishes, and peeling recovers the
-rest: a cell that holds one digest alone gives it away, and it is taken from its other cells. Where peeling stops short,
-sketches with four times the buckets are tried, and after three sizes the digests themselves are compared.
+A text's units (lines, and stretches of sentences within them) are digested to 64 bits. A sketch has buckets of 4 rows of cells; a digest goes to
+one bucket, by its hash, and there to one cell of each row, where it is counted and XORed with the others, and so is its
+check value. Sketches of one size subtract cell by cell; what both hold vanishes, and peeling recovers the rest: a cell
+that holds one digest alone gives it away, and it is taken from its other cells. A bucket in which peeling stops short is
+sketched anew with four and then eight times the cells; after that its digests themselves are compared.
 The fingerprint is the sketch of one bucket.
 """
 
@@ -13,13 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS, WIDTH = 4, 8
-#: Digests for a bucket of the first size tried, rounds of peeling, sizes tried.
-LOAD, ROUNDS, SIZES = 8, 8, 3
-UNIT_ENDS = r"\n|(?<=[.!?]) "
+#: Rows of cells in a bucket, and the cells of a row in the sizes tried.
+ROWS, WIDTHS = 4, (4, 16, 32)
+#: Digests of both texts for a bucket, and rounds of peeling.
+LOAD, ROUNDS = 4, 6
+#: Where units end: at line ends, and within long lines at the sentence ends that every third letter of the alphabet
+#: follows, so that equal stretches of two versions are cut alike whatever stands before them.
+UNIT_ENDS = r"\n|(?<=[.!?]) (?=[CFILORUX])"
 #: Documents for a part of the order in which each finds its next, and how often the average the largest part may hold.
 PART, UNEVEN = 1000, 4
-HASH, CHECK = "place", "check"
+HASH, CHECK, WIDE = "place", "check", "wide"
 
 
 def let(value: Column, body) -> Column:
@@ -32,35 +35,40 @@ def digests(text: Column, ends: str = UNIT_ENDS) -> Column:
     return F.array_distinct(F.transform(F.array_remove(F.split(F.coalesce(text, F.lit("")), ends), ""), lambda u: F.xxhash64(u)))
 
 
+def item(k: Column, h: Column) -> list[Column]:
+    """Fields of a digest: itself, its check value, its hash, and its cells in the smallest size."""
+    r = F.xxhash64(k, F.lit(HASH))
+    return [k.alias("k"), h.alias("h"), r.alias("r"), *[F.shiftright(r, 2 * s).bitwiseAND(F.lit(3).cast("long")).cast("int").alias(f"c{s}") for s in range(ROWS)]]
+
+
 def placed(ds: Column) -> Column:
-    """Digests with the hash that gives bucket and cells, and the check value."""
-    return F.transform(ds, lambda d: F.struct(d.alias("k"), F.xxhash64(d, F.lit(HASH)).alias("r"), F.xxhash64(d, F.lit(CHECK)).alias("h")))
+    return F.transform(ds, lambda d: F.struct(*item(d, F.xxhash64(d, F.lit(CHECK)))))
+
+
+def cell_of(x: Column, row: int, width: int) -> Column:
+    """The cell of an item in a row."""
+    if width == WIDTHS[0]:
+        return x[f"c{row}"]
+    bits = width.bit_length() - 1
+    r = x.r if width == WIDTHS[1] else F.xxhash64(x.k, F.lit(WIDE))
+    return F.shiftright(r, 8 + bits * row).bitwiseAND(F.lit(width - 1).cast("long")).cast("int")
 
 
 def buckets(items: Column, high: Column, low: Column) -> Column:
     """items (of placed()) dealt to high x low buckets in two steps, powers of two; each item is looked at high + low times."""
-    number = lambda x: F.shiftrightunsigned(x.r, 3 * ROWS)
     return F.flatten(
         F.transform(
             F.sequence(F.lit(0), high - 1),
-            lambda a: let(F.filter(items, lambda x: F.shiftrightunsigned(number(x), 20).bitwiseAND(high - 1) == a), lambda part: F.transform(F.sequence(F.lit(0), low - 1), lambda b: F.filter(part, lambda x: number(x).bitwiseAND(low - 1) == b))),
+            lambda a: let(F.filter(items, lambda x: F.shiftright(x.r, 44).bitwiseAND(high - 1) == a), lambda part: F.transform(F.sequence(F.lit(0), low - 1), lambda b: F.filter(part, lambda x: F.shiftright(x.r, 24).bitwiseAND(low - 1) == b))),
         )
     )
 
 
-def in_cell(x: Column, i: Column) -> Column:
-    """Whether item x falls in cell i = row * WIDTH + column of its bucket."""
-    out = F.lit(False)
-    for s in reversed(range(ROWS)):
-        out = F.when(F.floor(i / WIDTH) == s, F.shiftright(x.r, 3 * s).bitwiseAND(F.lit(WIDTH - 1).cast("long")) == i - s * WIDTH).otherwise(out)
-    return out
-
-
-def cells(items: Column) -> Column:
-    """Cells (c, k, h) of one bucket: count, XOR of digests, XOR of check values."""
+def cells(items: Column, width: int) -> Column:
+    """Cells (c, k, h) of one bucket, row after row: count, XOR of digests, XOR of check values."""
     zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
     add = lambda a, x: F.struct((a.c + 1).alias("c"), a.k.bitwiseXOR(x.k).alias("k"), a.h.bitwiseXOR(x.h).alias("h"))
-    row = lambda s: F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: F.aggregate(F.filter(items, lambda x: F.shiftright(x.r, 3 * s).bitwiseAND(F.lit(WIDTH - 1).cast("long")) == j), zero, add))
+    row = lambda s: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.aggregate(F.filter(items, lambda x: cell_of(x, s, width) == j), zero, add))
     return F.concat(*[row(s) for s in range(ROWS)])
 
 
@@ -68,58 +76,53 @@ def minus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x.c - y.c).alias("c"), x.k.bitwiseXOR(y.k).alias("k"), x.h.bitwiseXOR(y.h).alias("h")))
 
 
-def peel(difference: Column, rounds: int = ROUNDS) -> Column:
-    """Struct (cells, more, less): what is left of a bucket's cells, and how many digests of either side came out."""
+def peel(difference: Column, width: int, rounds: int = ROUNDS) -> Column:
+    """Struct (more, less): how many digests of either side come out of a bucket's cells; null if some stay in."""
     start = F.struct(difference.alias("cells"), F.lit(0).alias("more"), F.lit(0).alias("less"))
 
     def turn(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(
-            F.transform(
-                F.filter(state.cells, lambda x: (F.abs(x.c) == 1) & (x.h == F.xxhash64(x.k, F.lit(CHECK)))),
-                lambda x: F.struct(x.k.alias("k"), x.h.alias("h"), x.c.alias("c"), F.xxhash64(x.k, F.lit(HASH)).alias("r")),
-            )
-        )
+        alone = F.filter(state.cells, lambda x: (F.abs(x.c) == 1) & (x.h == F.xxhash64(x.k, F.lit(CHECK))))
+        pure = F.array_distinct(F.transform(alone, lambda x: F.struct(*item(x.k, x.h), x.c.alias("c"))))
 
         def taken(p: Column) -> Column:
-            out = lambda cell, i: F.aggregate(
-                p, cell, lambda a, x: F.when(in_cell(x, i), F.struct((a.c - x.c).alias("c"), a.k.bitwiseXOR(x.k).alias("k"), a.h.bitwiseXOR(x.h).alias("h"))).otherwise(a)
-            )
-            more = F.aggregate(p, F.lit(0), lambda n, x: n + F.when(x.c == 1, 1).otherwise(0))
-            return F.struct(F.transform(state.cells, out).alias("cells"), (state.more + more).alias("more"), (state.less + F.size(p) - more).alias("less"))
+            less = lambda a, x: F.struct((a.c - x.c).alias("c"), a.k.bitwiseXOR(x.k).alias("k"), a.h.bitwiseXOR(x.h).alias("h"))
+            row = lambda s: F.transform(F.slice(state.cells, s * width + 1, width), lambda cell, j: F.aggregate(F.filter(p, lambda x: cell_of(x, s, width) == j), cell, less))
+            more = F.size(F.filter(p, lambda x: x.c == 1))
+            return F.struct(F.concat(*[row(s) for s in range(ROWS)]).alias("cells"), (state.more + more).alias("more"), (state.less + F.size(p) - more).alias("less"))
 
         return F.when(F.exists(state.cells, lambda x: x.c != 0), let(pure, taken)).otherwise(state)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn)
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn)
+    return let(done, lambda s: F.when(~F.exists(s.cells, lambda x: (x.c != 0) | (x.k != 0)), F.struct(s.more.alias("more"), s.less.alias("less"))))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two texts' units, from the peeled difference of their sketches; a, b: of placed(). 1 if both are empty."""
-    total = F.size(a) + F.size(b)
+def sketched(items: Column, log: Column) -> Column:
+    """The buckets (items, cells), 2 to the power log, of a text's items (of placed())."""
+    low = F.shiftright(log, 1)
+    size = lambda n: F.pow(F.lit(2.0), n).cast("int")
+    return F.transform(buckets(items, size(log - low), size(low)), lambda x: F.struct(x.alias("items"), cells(x, WIDTHS[0]).alias("cells")))
 
-    def at(times: int) -> Column:
-        log = F.ceil(F.log2(F.greatest(F.lit(1.0), total / F.lit(float(LOAD))))).cast("int") + times
-        low = F.shiftrightunsigned(log, 1)
-        size = lambda n: F.pow(F.lit(2.0), n).cast("int")
-        pairs = F.zip_with(buckets(a, size(log - low), size(low)), buckets(b, size(log - low), size(low)), lambda x, y: peel(minus(cells(x), cells(y))))
-        zero = F.struct(F.lit(True).alias("ok"), F.lit(0).alias("more"), F.lit(0).alias("less"))
-        whole = F.aggregate(
-            pairs,
-            zero,
-            lambda s, x: F.struct((s.ok & ~F.exists(x.cells, lambda c: (c.c != 0) | (c.k != 0))).alias("ok"), (s.more + x.more).alias("more"), (s.less + x.less).alias("less")),
-        )
-        return let(whole, lambda s: F.when(s.ok, ratio(F.size(a) - s.more, F.size(b) + s.more)))
 
-    ratio = lambda same, union: F.when(union == 0, F.lit(1.0)).otherwise(same.cast("double") / F.greatest(union, F.lit(1)))
-    key = lambda s: F.transform(s, lambda x: x.k)
-    exact = let(F.size(F.array_intersect(key(a), key(b))), lambda n: ratio(n, total - n))
-    return F.coalesce(*[at(2 * i) for i in range(SIZES)], exact)
+def likeness(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
+    """Jaccard similarity of two texts' units from the peeled difference of their sketches, of one size; 1 if both are empty."""
+    keys = lambda x: F.transform(x, lambda i: i.k)
+
+    def exact(x: Column, y: Column) -> Column:
+        return F.struct(F.size(F.array_except(keys(x), keys(y))).alias("more"), F.size(F.array_except(keys(y), keys(x))).alias("less"))
+
+    def compared(x: Column, y: Column) -> Column:
+        larger = [peel(minus(cells(x["items"], w), cells(y["items"], w)), w) for w in WIDTHS[1:]]
+        return F.coalesce(peel(minus(x.cells, y.cells), WIDTHS[0]), *larger, exact(x["items"], y["items"]))
+
+    more = F.aggregate(F.zip_with(a, b, compared), F.lit(0), lambda n, x: n + x.more)
+    return let(more, lambda m: F.when(n_b + m == 0, F.lit(1.0)).otherwise((n_a - m).cast("double") / F.greatest(n_b + m, F.lit(1))))
 
 
 def fingerprint(items: Column) -> Column:
     """Hexadecimal cells of the sketch of one bucket, 28 digits each: 4 of the count, 16 of the digests, 8 of the checks."""
     number = lambda x, n: F.lpad(F.hex(x), n, "0")
     low = lambda x, bits: x.cast("long").bitwiseAND(F.lit((1 << bits) - 1))
-    return F.array_join(F.transform(cells(items), lambda x: F.concat(number(low(x.c, 16), 4), number(x.k, 16), number(low(x.h, 32), 8))), "")
+    return F.array_join(F.transform(cells(items, WIDTHS[0]), lambda x: F.concat(number(low(x.c, 16), 4), number(x.k, 16), number(low(x.h, 32), 8))), "")
 
 
 def with_next(documents: DataFrame, columns: list[str], doc_id: str = "doc_id", tie: str = "_tie", part: int = PART, uneven: float = UNEVEN) -> DataFrame:
@@ -180,4 +183,8 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
         placed(digests(F.col("_edited"))).alias("_new"),
         placed(F.coalesce(F.col("next._digests"), none)).alias("_next"),
     )
-    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("_own")).alias("fingerprint"), fingerprint(F.col("_new")).alias("edited_fingerprint"), likeness(F.col("_own"), F.col("_new")).alias("near_edited"), likeness(F.col("_own"), F.col("_next")).alias("near_next"))
+    most = F.size("_own") + F.greatest(F.size("_new"), F.size("_next"))
+    log = F.round(F.log2(F.greatest(F.lit(1.0), most / F.lit(float(LOAD))))).cast("int")
+    rows = rows.withColumn("_log", log).withColumns({f"_s{c}": sketched(F.col(c), F.col("_log")) for c in ("_own", "_new", "_next")})
+    near = lambda c: likeness(F.col("_s_own"), F.col(f"_s{c}"), F.size("_own"), F.size(c))
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("_own")).alias("fingerprint"), fingerprint(F.col("_new")).alias("edited_fingerprint"), near("_new").alias("near_edited"), near("_next").alias("near_next"))
