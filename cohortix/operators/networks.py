@@ -138,10 +138,12 @@ def assortativity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.agg(F.corr("a", "b").alias("assortativity"))
 
 
-def graph_measures(edges: DataFrame, nodes: DataFrame, names: list[str], seed: int = 0, most_nodes: int = 20_000) -> DataFrame:
+def graph_measures(edges: DataFrame, nodes: DataFrame, names: list, seed: int = 0, most_nodes: int = 20_000, each: bool = False) -> DataFrame:
     """(graph, name, value) of measures that need a whole graph at once; graphs run in parallel, one in a task.
 
-    edges: (graph, i, j); nodes: (graph, node). A measure with a value for each node is averaged."""
+    edges: (graph, i, j); nodes: (graph, node). names: measures by name, or (name, function of adjacency and seed). A
+    measure with a value for each node is averaged, or, with each, put out as `<name>_<place of the node>`."""
+    known = [(n, graphs.MEASURES[n]) if isinstance(n, str) else n for n in names]
 
     def measured(key, e: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(n["node"].unique())
@@ -151,7 +153,10 @@ def graph_measures(edges: DataFrame, nodes: DataFrame, names: list[str], seed: i
         a = np.zeros((len(ids), len(ids)))
         for i, j in zip(e["i"], e["j"]):
             a[at[i], at[j]] = a[at[j], at[i]] = 1.0
-        rows = [(key[0], name, float(np.mean(graphs.MEASURES[name](a, seed)))) for name in names]
+        rows = []
+        for name, measure in known:
+            value = np.asarray(measure(a, seed), dtype=float)
+            rows += [(key[0], f"{name}_{k}", float(v)) for k, v in enumerate(value)] if each and value.ndim else [(key[0], name, float(value.mean()))]
         return pd.DataFrame(rows, columns=["graph", "name", "value"])
 
     return nodes.groupBy("graph").cogroup(edges.groupBy("graph")).applyInPandas(lambda key, n, e: measured(key, e, n), "graph long, name string, value double")

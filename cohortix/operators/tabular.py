@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +65,16 @@ def align(subjects: DataFrame, table: DataFrame, key: str = "subject", check: bo
     return subjects.join(table, key)
 
 
-def path_template(subject: Column, template: str, contrast: str | None = None) -> Column:
-    """The template with SUBJECT and CONTRAST replaced, as text and not as patterns."""
+def path_template(subject: Column, template: str | Callable[..., str], contrast: str | None = None) -> Column:
+    """The template with SUBJECT and CONTRAST replaced, as text and not as patterns; or what a function of subject (and contrast) returns."""
+    if callable(template):
+        extra = () if contrast is None else (contrast,)
+
+        @F.arrow_udf("string")
+        def paths(subjects: pa.Array) -> pa.Array:
+            return pa.array([None if s is None else template(s, *extra) for s in subjects.to_pylist()], pa.string())
+
+        return paths(subject)
     if contrast is not None:
         template = template.replace("CONTRAST", contrast)
     return F.replace(F.lit(template), F.lit("SUBJECT"), subject.cast("string"))

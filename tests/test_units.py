@@ -337,3 +337,43 @@ def test_accumulation_is_idempotent(spark, tmp_path):
     for n in (3, 5, 5):
         out = accumulate.append_maxima(spark, blocks.permutations(n, spark), str(tmp_path / "acc"), score)
     assert got(out, "perm") == [(i, float(i)) for i in range(1, 6)]
+
+
+def test_callables(spark):
+    s = spark.createDataFrame([(1,), (2,)], "subject long")
+    paths = s.select(tabular.path_template(F.col("subject"), lambda i, c: f"/{c}/{i:03d}.npy", "rest")).collect()
+    assert [r[0] for r in paths] == ["/rest/001.npy", "/rest/002.npy"]
+    e, n = spark.createDataFrame([(0, 0, 1)], "graph long, i int, j int"), spark.createDataFrame([(0, i) for i in range(3)], "graph long, node int")
+    out = {r["name"]: r["value"] for r in networks.graph_measures(e, n, [("edges", lambda a, seed: a.sum() / 2), ("degree", lambda a, seed: a.sum(0))], each=True).collect()}
+    assert out == {"edges": 1.0, "degree_0": 1.0, "degree_1": 1.0, "degree_2": 0.0}
+
+
+def test_regions_as_series(spark):
+    df = spark.createDataFrame([("1", "a", ), ("2", "b")], "x string, n string")
+    assert got(tabular.roi_series(df), "name") == [("a", 1.0), ("b", 2.0)]
+    df = spark.createDataFrame([(1.0, 2.0, 3), (3.0, 4.0, 5)], "p double, q double, r int")
+    assert got(tabular.roi_series(df), "name") == [("p", 2.0), ("q", 3.0), ("r", 4.0)]
+
+
+def test_names_with_mapping(spark):
+    names, labels = spark.createDataFrame([("lh_sfg",), ("unknown_lh",)], "name string"), spark.createDataFrame([("superior frontal",), ("unknown",)], "label string")
+    out = strings.resolve_with_mapping(names, labels, [("sfg", "superior frontal")], [("_lh", "end")])
+    assert got(out, "name") == [("lh_sfg", "superior frontal"), ("unknown_lh", "unknown")]
+    strings.check_one_to_one(out)
+    with pytest.raises(ValueError):
+        strings.check_one_to_one(out.unionByName(out.withColumn("name", F.lit("x"))))
+
+
+def test_surfaces(spark, tmp_path):
+    xyz, tri = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0]], dtype=float), np.array([[0, 1, 2]])
+    raw = b"\xff\xff\xfecreated by\n\n" + struct.pack(">2i", 3, 1) + xyz.astype(">f4").tobytes() + tri.astype(">i4").tobytes()
+    (tmp_path / "lh.white").write_bytes(raw)
+    v, t = arrays.load_surface(spark, str(tmp_path / "lh.white"))
+    assert geometry.vertex_areas(v, t).agg(F.sum("area")).first()[0] == pytest.approx(0.5) and t.count() == 1
+
+
+def test_connecting_threshold(spark):
+    e = spark.createDataFrame([(0, 1, 0.8), (1, 2, 0.5), (2, 3, 0.31), (0, 2, 0.1)], "i int, j int, w double")
+    assert networks.connecting_threshold(e, 0.6).first()["steps"] == 29
+    assert networks.connecting_threshold(e, 0.6, 0.75).first()["steps"] == 10
+    assert networks.connecting_threshold(e, 0.6, 0.5).first()["steps"] == 0
