@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -14,7 +15,7 @@ MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes hashed at once; bounds the working memory to about 40 bytes for each.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def small_batches(spark: SparkSession, most: str = "8m") -> None:
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
     """From now on at most so many bytes go to a Python worker at once: its memory is bounded also where texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
@@ -64,6 +65,15 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release_memory() -> None:
+    """Gives what a Python worker has freed back to the system; workers stay idle between tasks beside those that work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array, without copying, and the offset of each text; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):

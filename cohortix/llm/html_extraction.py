@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release_memory, small_batches
 
 #: Comments, declarations, elements whose content is no markup, and tags; the last alternative takes tags with odd quotes.
 TOKEN = re.compile(
@@ -126,6 +126,7 @@ def extracted(page: Column | str) -> Column:
     def texts(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in column:
             yield pa.array([main_text(p) for p in pages.to_pylist()], pa.string())
+        release_memory()
 
     return texts(page)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release_memory, small_batches
 
 DIMENSIONS = 1024
 N = 3
@@ -25,7 +25,7 @@ TRAIN_PER_LANGUAGE = 4000
 TRAIN_PARTS = 16
 SEED = 20
 #: Entries of a block of the (texts x n-grams) count matrix, and n-grams in one product.
-CELLS, GRAMS = 4_000_000, 8192
+CELLS, GRAMS = 1_000_000, 4096
 #: Scale at which unit vectors are summed as integers, so that prototypes don't depend on the order of the texts.
 SCALE = 1 << 24
 
@@ -98,7 +98,7 @@ def bundle(texts: list[str], dimensions: int = DIMENSIONS) -> tuple[np.ndarray,
     return np.divide(out, norm, out=out, where=norm > 0), letters
 
 
-def runs(texts: list[str], most_chars: int = 1_000_000, most_texts: int = CELLS // GRAMS) -> Iterator[list[str]]:
+def runs(texts: list[str], most_chars: int = 300_000, most_texts: int = CELLS // GRAMS) -> Iterator[list[str]]:
     run, size = [], 0
     for t in texts:
         if run and (size + len(t) > most_chars or len(run) >= most_texts):
@@ -133,6 +133,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
                     total[name] = total.get(name, 0) + whole[j]
                 i += len(run)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "vector": pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))})
+        release_memory()
 
     parts = sample.repartition(TRAIN_PARTS, "id").mapInArrow(summed, "lang string, vector array<bigint>").collect()
     whole: dict[str, np.ndarray] = {}
@@ -176,6 +177,7 @@ def predicted(text: Column | str, model: Model) -> Column:
         for texts in column:
             names, scores = classify(model, texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        release_memory()
 
     return judged(text)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_classes, compact, discard, durable, mix, shingles_of, slices, small_batches, spread_join, stored, text_bytes, words_of
+from .common import byte_classes, compact, discard, durable, mix, release_memory, shingles_of, slices, small_batches, spread_join, stored, text_bytes, words_of
 
 SHINGLE = 5
 #: Linked if 100 x intersection >= PERCENT x union.
@@ -86,6 +86,7 @@ def sketched(text: Column | str, size: int = SHINGLE) -> Column:
             empty = np.array(n, dtype=np.int64) == 0
             bands = pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(hashed.reshape(-1).view(np.int64)), mask=pa.array(empty))
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), bands], ["n", "k1", "k2", "bands"])
+        release_memory()
 
     return sketch(text)
 
@@ -106,6 +107,7 @@ def alike(a: Column | str, b: Column | str, size: int = SHINGLE, percent: int =
                 common = int((both[1:] == both[:-1]).sum())
                 out.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.array(out, pa.bool_())
+        release_memory()
 
     return compared(a, b)
 

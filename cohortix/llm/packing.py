@@ -11,15 +11,17 @@ pieces of its length.
 from __future__ import annotations
 
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
-from .token_counts import batches, load
+from .common import durable, release_memory, small_batches
+from .token_counts import load
 
 CAPACITY = 4096
 END_ID = 1
@@ -27,61 +29,120 @@ END_ID = 1
 NODES = 30_000
 #: Fillings kept for a node.
 WIDTH = 4
-#: Entries and characters of the cache of encoded words in a worker; beyond either it starts anew.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 8_000_000
-
-
-class WordEncoder:
-    """Ids of texts for tokenizers that drop white space: words between white space are encoded apart and remembered.
+#: Encoded words that a worker remembers within a task and from task to task; beyond, it forgets those of more than SHORT
+#: characters, which seldom come again, or all.
+CACHE_WORDS, KEPT_WORDS, SHORT = 450_000, 100_000, 7
+#: White space, or for one side only, other than blanks, tabs and line ends: texts with any are encoded whole, as are
+#: those that may hold added tokens, which lower-casing could make.
+RARE_SPACE = r"[\x1c-\x1f\x85\xa0\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+
+
+def byte_letters() -> str:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in prints else next(rest)) for b in range(256))
+
+
+def is_latin(word: str) -> bool:
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def unstopped(words: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """(words, first word of each text): all words of all texts, a comma or full stop right behind a letter a-z apart.
+
+    Tokens never span a letter and what follows it there, so the ids stay the same and far fewer words are distinct."""
+    flat = words.flatten()
+    at = words.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    at -= at[0]
+    _, offsets, data = flat.buffers()
+    if not len(flat) or data is None:
+        return flat, at
+    edge = np.frombuffer(offsets, dtype=np.int32, count=len(flat) + flat.offset + 1)[flat.offset :]
+    raw, end = np.frombuffer(data, dtype=np.uint8), edge[1:]
+    long = np.flatnonzero(np.diff(edge) > 1)
+    last, before = raw[end[long] - 1], raw[end[long] - 2]
+    cut = long[((last == ord(",")) | (last == ord("."))) & (before >= ord("a")) & (before <= ord("z"))]
+    edge = np.insert(edge, cut + 1, end[cut] - 1)
+    return pa.StringArray.from_buffers(len(edge) - 1, pa.py_buffer(edge.astype(np.int32)), data), at + np.searchsorted(cut, at)
+
+
+class Words(dict):
+    """word -> little-endian 32-bit ids, for tokenizers that lower-case and drop white space; words are encoded when first looked up.
 
     Such a tokenizer's tokens never span white space and its normalisers act on single words, so a text's ids are those of
-    its words. Python and the tokenizer differ on whether \\x1c to \\x1f are white space; such texts are encoded whole."""
+    its words one after the other. A word of Latin-1 letters alone is one unit for the tokenizer, whatever its case, and
+    goes to its model directly; so does one with a comma or full stop behind, which is a unit of its own. All other
+    words go through the whole tokenizer."""
 
     def __init__(self, path: str) -> None:
-        self.tok, self.known, self.chars = load(path), {}, 0
+        super().__init__()
+        self.tok = load(path)
+        self.tokenize, self.letters = self.tok.model.tokenize, byte_letters()
+        self.codes = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes new words, all in one text, and cuts the ids at the words' offsets."""
-        stem = {}
-        for w in words:
-            s = w[:-1] if w[-1] in ".," and w[:-1].isalpha() and max(w) < "ɐ" else w
-            stem[w] = s.lower() if s.isascii() and s.isalpha() else s
-        known = self.known
-        new = [s for s in dict.fromkeys(stem.values()) if s not in known]
-        if new:
-            e = self.tok.encode(" ".join(new), add_special_tokens=False)
-            begin = np.fromiter((o[0] for o in e.offsets), dtype=np.int64, count=len(e.ids))
-            at = np.cumsum([0] + [len(s) + 1 for s in new[:-1]])
-            cut = [*(4 * np.searchsorted(begin, at)).tolist(), 4 * len(begin)]
-            raw = np.array(e.ids, dtype="<u4").tobytes()
-            for i, s in enumerate(new):
-                known[s] = raw[cut[i] : cut[i + 1]]
-        for w, s in stem.items():
-            if w not in known:
-                if len(s) < len(w) and w[-1] not in known:
-                    known[w[-1]] = self.whole(w[-1])
-                known[w] = known[s] + (known[w[-1]] if len(s) < len(w) else b"")
-        self.chars += sum(map(len, words)) + sum(map(len, new))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if new:
-            self.learn(new)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for i, t in enumerate(texts):
-            if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t:
-                out[i] = self.whole(t)
-        if len(self.known) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
-            self.known.clear()
-            self.chars = 0
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha() and (word.isascii() or is_latin(word)):
+            low = word.lower()
+            if not low.isascii():
+                low = charmap_decode(low.encode(), "strict", self.letters)[0]
+            codes = self.codes
+            out = b"".join([codes[t.id] for t in self.tokenize(low)])
+        elif not word:
+            out = b""
+        elif word[-1] in ".," and word[:-1].isalpha() and is_latin(word):
+            out = self[word[:-1]] + self[word[-1]]
+        else:
+            out = self.whole(word)
+        self[word] = out
         return out
 
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text. Each distinct word of the batch is looked up once; the ids are then put together by place."""
+        words, at = unstopped(pc.utf8_split_whitespace(pc.ascii_lower(texts)))
+        coded = words.dictionary_encode()
+        distinct = list(map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        size = np.fromiter(map(len, distinct), dtype=np.int32, count=len(distinct)) // 4
+        first = np.cumsum(size, dtype=np.int32) - size
+        ids = np.frombuffer(b"".join(distinct), dtype="<u4")
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        each = size[code]
+        end = np.zeros(len(each) + 1, dtype=np.int32)
+        np.cumsum(each, out=end[1:])
+        flat = ids[np.repeat(first[code] - end[:-1], each) + np.arange(end[-1], dtype=np.int32)].tobytes()
+        cut = (4 * end[at].astype(np.int64)).tolist()
+        out = [flat[i:j] for i, j in zip(cut, cut[1:])]
+        odd = pc.or_(pc.match_substring_regex(texts, RARE_SPACE), pc.match_substring(texts, "<|"))
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.whole(texts[i].as_py())
+        self.forget(CACHE_WORDS)
+        return out
+
+    def forget(self, most: int) -> None:
+        """Makes room where more than most words are known."""
+        if len(self) > most:
+            short = {w: ids for w, ids in self.items() if len(w) <= SHORT}
+            self.clear()
+            if len(short) <= most:
+                self.update(short)
+
+
+_words: dict[str, Words] = {}
+
+
+def words(path: str) -> Words:
+    """The worker's words of a vocabulary, kept from task to task."""
+    if path not in _words:
+        _words[path] = Words(path)
+    return _words[path]
+
 
 def cut_ids(ids: bytes, capacity: int = CAPACITY, end_id: int = END_ID) -> list[tuple[int, int]]:
     """(length, crc32) of each piece of a document's ids with the end id."""
@@ -96,18 +157,20 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, doc_id: st
 
     @F.arrow_udf(kind)
     def cut(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = WordEncoder(path)
+        known = words(path)
         for texts in column:
             sizes, length, crc = [0], [], []
-            for run in batches([t or "" for t in texts.to_pylist()]):
-                for ids in encoder.encode(run):
-                    for n, c in cut_ids(ids, capacity):
-                        length.append(n)
-                        crc.append(c)
-                    sizes.append(len(length))
+            for ids in known.encode(texts.fill_null("")):
+                for n, c in cut_ids(ids, capacity):
+                    length.append(n)
+                    crc.append(c)
+                sizes.append(len(length))
             values = pa.StructArray.from_arrays([pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["length", "ids_crc32"])
             yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
+        known.forget(KEPT_WORDS)
+        release_memory()
 
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(doc_id).alias("doc_id"), cut(F.col(text)).alias("p")).select("doc_id", F.posexplode("p").alias("piece", "p"))
     return rows.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), "p.length", "p.ids_crc32")
 

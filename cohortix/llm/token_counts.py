@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release_memory, small_batches
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
@@ -122,6 +122,7 @@ def n_tokens(text: Column | str, path: str, chunk_chars: int = CHUNK_CHARS, over
             for run in batches([t or "" for t in texts.to_pylist()]):
                 out += count_tokens(tok, run, chunk_chars, overlap_chars)
             yield pa.array(out, pa.int64())
+        release_memory()
 
     return counted(text)
 
