@@ -34,7 +34,7 @@ WIDTH = 4
 CACHE_WORDS, KEPT_WORDS, SHORT = 450_000, 100_000, 7
 #: White space, or for one side only, other than blanks, tabs and line ends: texts with any are encoded whole, as are
 #: those that may hold added tokens, which lower-casing could make.
-RARE_SPACE = r"[\x1c-\x1f\x85\xa0\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+RARE = r"[\x1c-\x1f\x85\xa0\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|<\|"
 
 
 def byte_letters() -> str:
@@ -119,8 +119,7 @@ class Words(dict):
         flat = ids[np.repeat(first[code] - end[:-1], each) + np.arange(end[-1], dtype=np.int32)].tobytes()
         cut = (4 * end[at].astype(np.int64)).tolist()
         out = [flat[i:j] for i, j in zip(cut, cut[1:])]
-        odd = pc.or_(pc.match_substring_regex(texts, RARE_SPACE), pc.match_substring(texts, "<|"))
-        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+        for i in np.flatnonzero(pc.match_substring_regex(texts, RARE).to_numpy(zero_copy_only=False)).tolist():
             out[i] = self.whole(texts[i].as_py())
         self.forget(CACHE_WORDS)
         return out
@@ -170,7 +169,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, doc_id: st
         known.forget(KEPT_WORDS)
         release_memory()
 
-    small_batches(documents.sparkSession)
+    small_batches(documents.sparkSession, "8m")
     rows = documents.select(F.col(doc_id).alias("doc_id"), cut(F.col(text)).alias("p")).select("doc_id", F.posexplode("p").alias("piece", "p"))
     return rows.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), "p.length", "p.ids_crc32")
 
