@@ -160,6 +160,50 @@ def test_passages_exact_and_fuzzy(spark):
     assert (r["start_word"], r["n_words"], r["source_start"], r["n_equal"]) == (70, 80, 70, 80)
 
 
+def test_passages_around_a_long_gap(spark):
+    rng = random.Random(8)
+    new = lambda n: words(rng, n, 10**9)
+    texts, at = [], 0
+    for size, gap in [(60, 60), (60, 100), (100, 150), (200, 300)]:
+        p, q = new(size), new(size)
+        texts += [(at, " ".join(new(70) + p + new(gap) + q + new(70))), (at + 1, " ".join(new(70) + p + new(gap) + q + new(70)))]
+        at += 2
+    out = substring_dedup.substring_dedup(frame(spark, texts)).collect()
+    found = sorted((r["doc_id"], r["source_id"], r["start_word"], r["n_words"], r["n_equal"]) for r in out)
+    assert found == sorted((2 * i + 1, 2 * i, s, n, n) for i, (n, g) in enumerate([(60, 60), (60, 100), (100, 150), (200, 300)]) for s in (70, 70 + n + g))
+
+
+def test_segments_leave_no_passage_out():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        same = np.repeat(rng.random(40) < 0.7, rng.integers(1, 12, 40))
+        x = np.flatnonzero(same)
+        y = x + np.searchsorted(np.sort(rng.integers(0, len(same), 3)), x)
+        out = substring_dedup.segments(x, y, 20, 0.75)
+        taken = np.zeros(len(same), dtype=bool)
+        for a, n, b, m, k in out:
+            assert min(n, m) >= 20 and k >= 0.75 * max(n, m) and not taken[a : a + n].any()
+            taken[a : a + n] = True
+        free = [not taken[v] for v in x]
+        for i in range(len(x)):
+            for j in range(i, len(x)):
+                n, m = x[j] - x[i] + 1, y[j] - y[i] + 1
+                assert min(n, m) < 20 or j - i + 1 < 0.75 * max(n, m) or not all(free[i : j + 1])
+
+
+def test_common_words_of_long_gaps_are_found():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 50, 90), rng.integers(0, 50, 120)
+    whole = len(substring_dedup.common(a, b))
+    most, substring_dedup.TABLE = substring_dedup.TABLE, 100
+    try:
+        halved = substring_dedup.common(a, b)
+    finally:
+        substring_dedup.TABLE = most
+    assert len(halved) == whole == substring_dedup.common_row(a, b)[-1] and all(a[i] == b[j] for i, j in halved)
+    assert all(i < k and j < m for (i, j), (k, m) in zip(halved, halved[1:]))
+
+
 def test_passages_of_odd_rows(spark):
     out = substring_dedup.substring_dedup(odd(spark))
     assert out.count() == 0 and substring_dedup.substring_dedup(empty(spark)).count() == 0
