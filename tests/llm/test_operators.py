@@ -173,6 +173,18 @@ def test_passages_around_a_long_gap(spark):
     assert found == sorted((2 * i + 1, 2 * i, s, n, n) for i, (n, g) in enumerate([(60, 60), (60, 100), (100, 150), (200, 300)]) for s in (70, 70 + n + g))
 
 
+def test_passages_with_many_edits(spark):
+    rng = random.Random(9)
+    new = lambda n: words(rng, n, 10**9)
+    texts = []
+    for i in range(40):
+        p = new(60)
+        edits = {*range(i % 6, 60, 6)} if i < 20 else {*rng.sample(range(60), 9)}  # nine or ten words, at even and at random distances
+        texts += [(2 * i, " ".join(new(70) + p + new(70))), (2 * i + 1, " ".join(new(50) + [w if k not in edits else "edited" + w for k, w in enumerate(p)] + new(50)))]
+    out = substring_dedup.substring_dedup(frame(spark, texts)).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in out} == {(2 * i + 1, 2 * i) for i in range(40)}
+
+
 def test_segments_leave_no_passage_out():
     rng = np.random.default_rng(3)
     for _ in range(100):
