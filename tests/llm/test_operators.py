@@ -185,6 +185,22 @@ def test_passages_with_many_edits(spark):
     assert {(r["doc_id"], r["source_id"]) for r in out} == {(2 * i + 1, 2 * i) for i in range(40)}
 
 
+def test_passages_whose_parts_came_from_different_documents(spark):
+    rng = random.Random(10)
+    new = lambda n: words(rng, n, 10**9)
+    texts, expected = [], set()
+    for i in range(0, 200, 10):
+        p = new(60)
+        k = 5 + i // 10  # lengths of the parts: 5 to 24 words
+        for j, part in enumerate([p[m : m + k] for m in range(0, 60, k)][:7]):
+            texts.append((i + j, " ".join(new(50) + part + new(50))))
+        q = [w if m not in (14, 44) else "edited" + w for m, w in enumerate(p)] if i >= 100 else p
+        texts += [(i + 8, " ".join(new(40) + p + new(40))), (i + 9, " ".join(new(70) + q + new(20)))]
+        expected.add((i + 9, i + 8, 70, 60))
+    out = substring_dedup.substring_dedup(frame(spark, texts)).collect()
+    assert {(r["doc_id"], r["source_id"], r["start_word"], r["n_words"]) for r in out} == expected
+
+
 def test_segments_leave_no_passage_out():
     rng = np.random.default_rng(3)
     for _ in range(100):
