@@ -1,6 +1,6 @@
 """Operator 8: document fingerprints as invertible Bloom lookup sketches. DataFrame functions only.
 
-A text's units (lines, and stretches of sentences within them) are digested to 64 bits. A sketch has buckets of 4 rows of cells; a digest goes to
+A text's units (sentences and lines) are digested to 64 bits. A sketch has buckets of 4 rows of cells; a digest goes to
 one bucket, by its hash, and there to one cell of each row, where it is counted and XORed with the others, and so is its
 check value. Sketches of one size subtract cell by cell; what both hold vanishes, and peeling recovers the rest: a cell
 that holds one digest alone gives it away, and it is taken from its other cells. A bucket in which peeling stops short is
@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 ROWS, WIDTHS = 4, (4, 16, 32)
 #: Digests of both texts for a bucket, and rounds of peeling.
 LOAD, ROUNDS = 4, 6
-#: Where units end: at line ends, and within long lines at the sentence ends that every third letter of the alphabet
-#: follows, so that equal stretches of two versions are cut alike whatever stands before them.
-UNIT_ENDS = r"\n|(?<=[.!?]) (?=[CFILORUX])"
+#: Where units end: at line ends and at every sentence end, whatever letter or script follows.
+UNIT_ENDS = r"\n|(?<=[.!?]) "
 #: Documents for a part of the order in which each finds its next, and how often the average the largest part may hold.
 PART, UNEVEN = 1000, 4
 HASH, CHECK, WIDE = "place", "check", "wide"

@@ -448,6 +448,14 @@ def test_decontamination_of_odd_rows(spark):
 # 8
 
 
+def test_units_end_at_every_sentence_end(spark):
+    lower = ["one line of lower case. ", "another sentence here! ", "does a third one follow? ", "the fourth is last. "]
+    greek = ["\u03b1 \u03b2 \u03b3. ", "\u03b4 \u03b5. ", "\u03b6 \u03b7 \u03b8. ", "\u03b9 \u03ba \u03bb. "]
+    df = spark.createDataFrame([(0, "".join(lower)), (1, "".join(greek)), (2, "And. Because. Do. Every.")], "doc_id long, text string")
+    rows = df.select("doc_id", F.size(fingerprints.digests(F.col("text"))).alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in rows} == {0: 4, 1: 4, 2: 4}
+
+
 def units(t):
     return {x for x in re.split(fingerprints.UNIT_ENDS, t or "") if x}
 
