@@ -16,12 +16,13 @@ from cohortix.llm.near_dedup import near_dedup
 from cohortix.llm.packing import packed_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text is rejected whose cosine with every language's prototype is no larger than this: no language is recognised.
+#: A text is rejected whose cosine with every language's prototype is no larger than this. Prototypes are centred on their
+#: mean, so the largest cosine is practically always above 0: only texts without letters (`und`) go, junk with letters stays.
 MIN_COSINE = 0.0
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is recognised; null texts and those without letters go."""
+    """Documents with letters; null texts and those without letters (`und`) go, and no others."""
     model = fit(docs.where(~held_out("doc_id")))
     return language_id(docs.select(COLUMNS), model).where((F.col("lang_pred") != "und") & (F.col("score") > MIN_COSINE)).select(COLUMNS)
 
