@@ -86,3 +86,14 @@ def decontamination(documents: DataFrame, benchmark: DataFrame, size: int = WIND
         F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))).alias("_row"),
     ).drop("_row")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def uncontaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of documents in whose text no window of benchmark occurs, with all their columns.
+
+    A row is judged by its own text: of rows with equal ids only those that hold a window go, and rows with null id are
+    judged like others. Null texts hold nothing and stay. Repeated rows get equal verdicts; either table may be empty."""
+    found = hits(documents, benchmark, size, doc_id, text, broadcast_rows).where(F.col("start").isNotNull())
+    gone = found.select(F.col("doc_id").alias("_hit_id"), F.col("key").alias("_hit_key")).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(F.col(text)) == F.col("_hit_key"))
+    return documents.join(gone, same, "left_anti")

@@ -445,6 +445,15 @@ def test_decontamination_of_odd_rows(spark):
     assert decontamination.decontamination(empty(spark), bench).count() == 0
 
 
+def test_rows_without_hits_stay(spark):
+    bench = spark.createDataFrame([(1, "two three four")], "item_id long, text string")
+    out = decontamination.uncontaminated(odd(spark), bench)
+    assert out.columns == odd(spark).columns
+    assert sorted((r["doc_id"], r["text"]) for r in out.where("doc_id >= 4").collect()) == [(5, "!!! 123"), (5, "other text here")]
+    assert out.count() == 6 and out.where("doc_id is null").count() == 0
+    assert decontamination.uncontaminated(odd(spark), bench.limit(0)).count() == 8 and decontamination.uncontaminated(empty(spark), bench).count() == 0
+
+
 # 8
 
 
@@ -595,6 +604,8 @@ def test_pipeline(spark, tmp_path):
     item = words(rng, 20, 10**6)
     texts = [(i, "\n".join(" ".join(words(rng, 30, 10**6)) for _ in range(4))) for i in range(20)]
     texts += [(20, texts[0][1].replace("\n", " ") + " more"), (21, " ".join(item + words(rng, 30, 10**6))), (22, "123 !!"), (23, None), (24, "\n".join(texts[1][1].split("\n")[:3] + ["own last line of this one"]))]
+    long = words(rng, 1500, 10**6)
+    texts += [(25, " ".join(long[:700] + item + long[700:]))]  # far under the share of words at which a document counts as contaminated
     frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
@@ -602,5 +613,5 @@ def test_pipeline(spark, tmp_path):
     kept = {r["doc_id"] for r in out}
     lined = {i: t for i, t in brute_lines([(i, t) for i, t in texts if t and re.search(r"[^\W\d_]", t)]).items() if t.strip()}
     named = {i for i, (_, root, keep) in brute_components(list(lined.items())).items() if keep}
-    dirty = {d for d, *_, bad in brute_hits([(i, lined[i]) for i in named], [(1, " ".join(item))]) if bad}
-    assert kept == named - dirty and {21, 22, 23, 20}.isdisjoint(kept) and 24 in kept
+    dirty = {d for d, _, n_hit, *_ in brute_hits([(i, lined[i]) for i in named], [(1, " ".join(item))]) if n_hit}
+    assert kept == named - dirty and {21, 22, 23, 20, 25}.isdisjoint(kept) and 24 in kept
