@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortix.llm.common import shared_dir, table
-from cohortix.llm.decontamination import decontamination
+from cohortix.llm.decontamination import uncontaminated
 from cohortix.llm.language_id import fit, held_out, language_id
 from cohortix.llm.line_dedup import line_dedup
 from cohortix.llm.near_dedup import near_dedup
@@ -40,9 +40,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated with passages of benchmark."""
-    gone = decontamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Documents without any passage of benchmark: one window is enough, however long the document is. Each row is judged by its own text."""
+    return uncontaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
