@@ -8,7 +8,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
 #: Odd multiplier of the polynomial word hash, and its inverse modulo 2**64.
@@ -181,7 +182,20 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
 
     It splits a hot partition only where both sides are shuffled for the join itself. Where right comes from an aggregate
     by the same keys Spark would keep that aggregate's partitioning; a further key, a hash of the others, makes it shuffle."""
-    from pyspark.sql import functions as F
-
     extra = F.xxhash64(*keys, F.lit(1))
     return left.withColumn("_spread", extra).join(right.withColumn("_spread", extra), [*keys, "_spread"], how).drop("_spread")
+
+
+def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows, distinct by the columns by, with id: their place in that order, from 0. Written to the shared folder.
+
+    Ranges of the order are numbered side by side; the driver gets one count for each."""
+    spark = rows.sparkSession
+    ranged = durable(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    total, before = 0, []
+    for r in sorted(ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()):
+        before.append((r["_part"], total))
+        total += r["n"]
+    offsets = F.broadcast(spark.createDataFrame(before, "_part int, _before bigint"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1 + F.col("_before")
+    return durable(ranged.join(offsets, "_part").withColumn("id", place.cast("long")).drop("_part", "_before"))
