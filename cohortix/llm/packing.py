@@ -13,6 +13,8 @@ from __future__ import annotations
 import zlib
 from codecs import charmap_decode
 from collections.abc import Iterator
+from itertools import repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from .token_counts import load
 
 CAPACITY = 4096
 END_ID = 1
+ID = attrgetter("id")
 #: Nodes of the search after which the best packing so far is taken.
 NODES = 30_000
 #: Fillings kept for a node.
@@ -71,52 +74,65 @@ def unstopped(words: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return pa.StringArray.from_buffers(len(edge) - 1, pa.py_buffer(edge.astype(np.int32)), data), at + np.searchsorted(cut, at)
 
 
-class Words(dict):
-    """word -> little-endian 32-bit ids, for tokenizers that lower-case and drop white space; words are encoded when first looked up.
+class Words:
+    """Ids of words, for tokenizers that lower-case and drop white space; words are encoded when first met.
 
     Such a tokenizer's tokens never span white space and its normalisers act on single words, so a text's ids are those of
     its words one after the other. A word of Latin-1 letters alone is one unit for the tokenizer, whatever its case, and
     goes to its model directly; so does one with a comma or full stop behind, which is a unit of its own. All other
-    words go through the whole tokenizer."""
+    words go through the whole tokenizer. Word i of known has size[i] ids from first[i] on in ids."""
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         self.tok = load(path)
         self.tokenize, self.letters = self.tok.model.tokenize, byte_letters()
-        self.codes = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.first, self.size = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if word.isalpha() and (word.isascii() or is_latin(word)):
-            low = word.lower()
-            if not low.isascii():
-                low = charmap_decode(low.encode(), "strict", self.letters)[0]
-            codes = self.codes
-            out = b"".join([codes[t.id] for t in self.tokenize(low)])
-        elif not word:
-            out = b""
-        elif word[-1] in ".," and word[:-1].isalpha() and is_latin(word):
-            out = self[word[:-1]] + self[word[-1]]
-        else:
-            out = self.whole(word)
-        self[word] = out
+    def units(self, word: str) -> list[int]:
+        """The ids of a word that isn't of ASCII letters alone."""
+        if not word:
+            return []
+        if word.isalpha() and is_latin(word):
+            return list(map(ID, self.tokenize(charmap_decode(word.lower().encode(), "strict", self.letters)[0])))
+        if word[-1] in ".," and word[:-1].isalpha() and is_latin(word):
+            return self.units(word[:-1]) + self.units(word[-1])
+        return self.tok.encode(word, add_special_tokens=False).ids
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The place of each word in known; new words are encoded and added."""
+        out = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(out < 0)
+        ids: list[int] = []
+        ends: list[int] = []
+        tokenize, units = self.tokenize, self.units
+        fresh = [words[i] for i in new.tolist()]
+        for word in fresh:
+            ids.extend(map(ID, tokenize(word.lower())) if word.isascii() and word.isalpha() else units(word))
+            ends.append(len(ids))
+        n, end = len(self.known), np.array(ends, dtype=np.int32)
+        self.known.update(zip(fresh, range(n, n + len(fresh))))
+        self.first = np.concatenate((self.first, len(self.ids) + np.append(0, end)[:-1].astype(np.int32))) if len(fresh) else self.first
+        self.size = np.concatenate((self.size, np.diff(end, prepend=0).astype(np.int32)))
+        self.ids = np.concatenate((self.ids, np.array(ids, dtype="<u4")))
+        out[new] = np.arange(n, n + len(fresh))
         return out
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text. Each distinct word of the batch is looked up once; the ids are then put together by place."""
         words, at = unstopped(pc.utf8_split_whitespace(pc.ascii_lower(texts)))
         coded = words.dictionary_encode()
-        distinct = list(map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
-        size = np.fromiter(map(len, distinct), dtype=np.int32, count=len(distinct)) // 4
-        first = np.cumsum(size, dtype=np.int32) - size
-        ids = np.frombuffer(b"".join(distinct), dtype="<u4")
+        place = self.places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         code = coded.indices.to_numpy(zero_copy_only=False)
-        each = size[code]
+        each = self.size[place][code]
         end = np.zeros(len(each) + 1, dtype=np.int32)
         np.cumsum(each, out=end[1:])
-        flat = ids[np.repeat(first[code] - end[:-1], each) + np.arange(end[-1], dtype=np.int32)].tobytes()
+        flat = self.ids[np.repeat(self.first[place][code] - end[:-1], each) + np.arange(end[-1], dtype=np.int32)].tobytes()
         cut = (4 * end[at].astype(np.int64)).tolist()
         out = [flat[i:j] for i, j in zip(cut, cut[1:])]
         for i in np.flatnonzero(pc.match_substring_regex(texts, RARE).to_numpy(zero_copy_only=False)).tolist():
@@ -125,12 +141,18 @@ class Words(dict):
         return out
 
     def forget(self, most: int) -> None:
-        """Makes room where more than most words are known."""
-        if len(self) > most:
-            short = {w: ids for w, ids in self.items() if len(w) <= SHORT}
+        """Makes room where more than most words are known: only short ones stay, or none."""
+        if len(self.known) <= most:
+            return
+        short = [w for w in self.known if len(w) <= SHORT]
+        if len(short) > most:
             self.clear()
-            if len(short) <= most:
-                self.update(short)
+            return
+        old = np.fromiter(map(self.known.__getitem__, short), dtype=np.int64, count=len(short))
+        first, size = self.first[old], self.size[old]
+        end = np.cumsum(size, dtype=np.int32)
+        self.ids = self.ids[np.repeat(first - (end - size), size) + np.arange(int(size.sum()), dtype=np.int32)]
+        self.known, self.first, self.size = dict(zip(short, range(len(short)))), end - size, size
 
 
 _words: dict[str, Words] = {}
