@@ -571,6 +571,51 @@ def test_main_text():
     assert html_extraction.main_text('<p class="' + "a" * 100_000) is not None
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<p style="overflow:hidden">Body text</p>', "Body text"),
+        ('<p data-state="hidden-never">A</p><p data-id="nav">B</p><p title="the hidden side">C</p>', "A\nB\nC"),
+        ('<svg class="i"/><p>Article</p>', "Article"),
+        ("<select><p>b</p><title>c", "b\nc"),
+        ("a<script>b<p>c</p>", "a"),
+        ('<article><h2 id="related-work">R</h2><section id="search-methods">S</section><p id="comment-box">no</p></article>', "R\nS"),
+        ('<div class="nav-primary">no</div><div id="ad-300x250">no</div><div class="lead ads">no</div><p hidden>no</p><p aria-hidden=true>no</p>yes', "yes"),
+        ("<article>Teaser</article><div>" + "Real body. " * 20 + "</div>", "Teaser\n" + " ".join(["Real body."] * 20)),
+    ],
+)
+def test_main_text_of_odd_markup(page, text):
+    assert html_extraction.main_text(page) == text
+
+
+def test_main_text_of_generated_pages():
+    """Pages put together from known blocks and chrome, nested at random, give back the blocks."""
+    rng = random.Random(23)
+    plain = lambda: " ".join(words(rng, rng.randrange(1, 12))) + rng.choice([".", " & more", " < x", " \u00e9"])
+
+    def shown(t):
+        t = t.replace("&", "&amp;").replace("<", "&lt;")
+        return rng.choice([t, f"<b>{t}</b>", f"<a href='/x?a=1&b=2' class=big>{t}</a>", t.replace(" ", "\n  ", 1), f"<!-- nav --><span id=s{rng.randrange(9)}>{t}</span>"])
+
+    def chrome():
+        t = shown(plain())
+        return rng.choice([f"<nav><ul><li>{t}</ul></nav>", f"<aside><p>{t}</p></aside>", f"<div class='x ad'><div>{t}</div></div>", f"<form><input value='q'>{t}</form>", f"<div id=comments><p>{t}<p>{t}</div>", f"<script>if(a<b)'{'<p>'}'</script>", f"<div role=search>{t}</div>", f"<svg viewBox='0 0 1 1'><text>{t}</text></svg>"])
+
+    for _ in range(300):
+        blocks, body = [], []
+        for _ in range(rng.randrange(1, 9)):
+            if rng.random() < 0.4:
+                body.append(chrome())
+            t = plain()
+            blocks.append(" ".join(t.split()))
+            kind = rng.choice(["p", "h2", "div", "blockquote", "pre", "section", "open"])
+            body.append(f"<p>{shown(t)}" if kind == "open" else f"<{kind} data-ad='nav'>{shown(t)}</{kind}>")
+            if kind == "open" and rng.random() < 0.5:
+                body.append("</p>")
+        page = "<html><head><title>T</title></head><body>" + chrome() + "<article>" + "".join(body) + "</article>" + chrome() + "<footer>F</footer></body></html>"
+        assert html_extraction.main_text(page) == "\n".join(blocks), page
+
+
 def test_html_of_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "u", ""), (3, "u", ""), (None, "u", "<p>x")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     out = html_extraction.html_extraction(df).collect()
