@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortix.shared import placed
+
 
 def shuffle_key(seed: int, perm: Column | str, item: Column | str) -> Column:
     perm, item = (F.col(c) if isinstance(c, str) else c for c in (perm, item))
@@ -54,7 +56,7 @@ def sign_flips(subjects: DataFrame, perms: DataFrame, seed: int = 0) -> DataFram
 
 def variance_groups_within(subjects: DataFrame, block: str) -> DataFrame:
     """(subject, vg): members of a block may swap, so each block is a group."""
-    codes = subjects.select(block).distinct().select(block, (F.dense_rank().over(Window.orderBy(block)) - 1).alias("vg"))
+    codes = placed(subjects.select(block).distinct(), block).select(block, F.col("place").alias("vg"))
     return subjects.join(codes, block).select("subject", "vg")
 
 
@@ -63,7 +65,7 @@ def variance_groups_whole(subjects: DataFrame, block: str) -> DataFrame:
     member = subjects.select(F.col(block).alias("block"), "subject", F.row_number().over(Window.partitionBy(block).orderBy("subject")).alias("k"))
     sizes = member.groupBy("block").agg(F.count("*").alias("size"))
     places = member.join(sizes, "block")
-    codes = places.select("size", "k").distinct().select("size", "k", (F.row_number().over(Window.orderBy("size", "k")) - 1).alias("vg"))
+    codes = placed(places.select("size", "k").distinct(), "size", "k").select("size", "k", F.col("place").alias("vg"))
     return places.join(codes, ["size", "k"]).select("subject", "vg")
 
 
@@ -86,8 +88,8 @@ def family_blocks(rows: DataFrame, order: str, family: str, relation: str, zygos
     names = F.transform(members, lambda m: m.relation)
     families = rows.groupBy("family").agg(F.concat_ws("|", F.array_sort(names) if sorted_signature else names).alias("_signature"), F.min("_at").alias("_first"))
     kinds = families.groupBy("_signature").agg(F.min("_first").alias("_first"))
-    kinds = kinds.select("_signature", (F.row_number().over(Window.orderBy("_first")) - 1).alias("family_type"))
-    code = lambda c: rows.select(c).distinct().select(c, (F.dense_rank().over(Window.orderBy(c)) - 1).alias(f"_{c}"))
+    kinds = placed(kinds, "_first").select("_signature", F.col("place").alias("family_type"))
+    code = lambda c: placed(rows.select(c).distinct(), c).select(c, F.col("place").alias(f"_{c}"))
     out = rows.join(families.join(kinds, "_signature").select("family", "family_type"), "family").join(code("family"), "family").join(code("relation"), "relation")
     first = [F.lit(-1).alias("neg_ones")] if neg_ones else []
     return out.select("subject", *first, "family_type", F.col("_family").alias("family"), F.col("_relation").alias("relation"))

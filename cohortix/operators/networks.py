@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortix.functions import graphs
+from cohortix.shared import durable, kth_largest
 
 from .stats import orthogonal_distance, orthogonal_fit
 
@@ -20,29 +20,31 @@ def feature_pairs(long: DataFrame) -> DataFrame:
 
 
 def correlation_edges(long: DataFrame, block: int = 512) -> DataFrame:
-    """(i, j, w), i < j: correlations of all pairs of features.
+    """(i, j, w), i < j: correlations of all pairs of features, over the subjects that have a value of both.
 
-    Each subject's row meets the matrix once: products are summed inside the tasks, as Gram blocks of block x block
-    features, and only those are shuffled, never subjects x pairs."""
-    wide = long.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("feat", "v"))).alias("_p"))
+    Null and missing values don't count; pairs without two subjects in common, or of a constant, have null. Each subject's
+    row meets the matrix once: a task holds its subjects, sums the products of one pair of feature blocks after the other,
+    and puts out sums by pair, so subjects x pairs are never shuffled and no task holds all pairs."""
+    wide = long.where("v is not null").groupBy("subject").agg(F.collect_list(F.struct("feat", "v")).alias("_p"))
     wide = wide.select(F.transform("_p", lambda p: p.feat).alias("f"), F.transform("_p", lambda p: p.v).alias("x"))
 
     def gram(batches):
-        total: dict[tuple[int, int], list] = {}
-        for b in batches:
-            if not len(b):
-                continue
-            feats = np.asarray(b["f"].iloc[0])
-            m = np.stack([np.asarray(v, dtype=float) for v in b["x"]])
-            for a in range(0, len(feats), block):
-                for c in range(a, len(feats), block):
-                    left, right = m[:, a : a + block], m[:, c : c + block]
-                    new = [left.T @ right, left.sum(axis=0), right.sum(axis=0), (left**2).sum(axis=0), (right**2).sum(axis=0), len(m)]
-                    old = total.get((a, c))
-                    total[a, c] = [feats[a : a + block], feats[c : c + block], *new] if old is None else [old[0], old[1], *[x + y for x, y in zip(old[2:], new)]]
-        for (a, c), (f, g, xy, sx, sy, xx, yy, n) in total.items():
-            i, j = np.nonzero(f[:, None] < g[None, :])
-            yield pd.DataFrame({"i": f[i], "j": g[j], "n": float(n), "xy": xy[i, j], "x": sx[i], "y": sy[j], "xx": xx[i], "yy": yy[j]})
+        rows = [(np.asarray(f), np.asarray(x, dtype=float)) for b in batches for f, x in zip(b["f"], b["x"])]
+        if not rows:
+            return
+        feats = np.unique(np.concatenate([f for f, _ in rows]))
+        m, has = np.zeros((len(rows), len(feats))), np.zeros((len(rows), len(feats)))
+        for k, (f, x) in enumerate(rows):
+            at = np.searchsorted(feats, f)
+            m[k, at], has[k, at] = x, 1.0
+        for a in range(0, len(feats), block):
+            p, x = m[:, a : a + block], has[:, a : a + block]
+            for c in range(a, len(feats), block):
+                q, y = m[:, c : c + block], has[:, c : c + block]
+                n = x.T @ y
+                i, j = np.nonzero((feats[a : a + block][:, None] < feats[c : c + block][None, :]) & (n > 0))
+                sums = {"n": n, "xy": p.T @ q, "x": p.T @ y, "y": x.T @ q, "xx": (p * p).T @ y, "yy": x.T @ (q * q)}
+                yield pd.DataFrame({"i": feats[a + i], "j": feats[c + j], **{k: v[i, j] for k, v in sums.items()}})
 
     parts = wide.mapInPandas(gram, "i int, j int, n double, xy double, x double, y double, xx double, yy double")
     sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "xy", "x", "y", "xx", "yy")])
@@ -68,13 +70,13 @@ def threshold_value(cells: DataFrame, cut: float, kind: str = "abs") -> DataFram
 
 
 def threshold_density(cells: DataFrame, density: float, kind: str = "abs") -> DataFrame:
-    """Cells as strong as the one of place round(cells x density) - 1 (0 at least), ties kept; of all cells, diagonal and all."""
+    """Cells as strong as the one of place round(cells x density) - 1 (0 at least), ties kept; of all cells, diagonal and all.
+
+    Cells are written to the shared folder once; the threshold is found from counts of equal bins."""
     value = {"abs": F.abs("w"), "pos": F.col("w"), "neg": -F.col("w")}[kind]
-    n = cells.count()
-    place = max(round(n * density) - 1, 0)
-    strong = cells.select(value.alias("s"))
-    cut = strong.withColumn("k", F.row_number().over(Window.orderBy(F.desc("s"))) - 1).where(F.col("k") == place) if n < 100_000 else strong.orderBy(F.desc("s")).limit(place + 1).orderBy("s").limit(1)
-    return cells.crossJoin(F.broadcast(cut.select(F.col("s").alias("_cut")))).where(value >= F.col("_cut")).drop("_cut")
+    cells = durable(cells)
+    cut = kth_largest(cells, value, max(round(cells.count() * density) - 1, 0))
+    return cells.where(value >= F.lit(cut))
 
 
 def threshold_relaxed(cells: DataFrame, cut: float, step: float = 0.01, kind: str = "abs") -> DataFrame:
@@ -149,10 +151,9 @@ def graph_measures(edges: DataFrame, nodes: DataFrame, names: list, seed: int =
         ids = np.sort(n["node"].unique())
         if len(ids) > most_nodes:
             raise ValueError(f"a graph of more than {most_nodes} nodes")
-        at = {x: k for k, x in enumerate(ids.tolist())}
         a = np.zeros((len(ids), len(ids)))
-        for i, j in zip(e["i"], e["j"]):
-            a[at[i], at[j]] = a[at[j], at[i]] = 1.0
+        i, j = np.searchsorted(ids, e["i"].to_numpy()), np.searchsorted(ids, e["j"].to_numpy())
+        a[i, j] = a[j, i] = 1.0
         rows = []
         for name, measure in known:
             value = np.asarray(measure(a, seed), dtype=float)
@@ -162,18 +163,23 @@ def graph_measures(edges: DataFrame, nodes: DataFrame, names: list, seed: int =
     return nodes.groupBy("graph").cogroup(edges.groupBy("graph")).applyInPandas(lambda key, n, e: measured(key, e, n), "graph long, name string, value double")
 
 
-def shortest_paths(edges: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(source, node, dist) of all reachable pairs of distinct nodes, breadth first; stops when nothing new is reached."""
-    both = both_ways(edges).persist()
+def shortest_paths(edges: DataFrame, nodes: DataFrame, every: int = 4) -> DataFrame:
+    """(source, node, dist) of all reachable pairs of distinct nodes, breadth first, until nothing new is reached.
+
+    Each turn's front is written to the shared folder, and what is reached every few turns, so plans stay short and lost
+    executors cost one turn."""
+    both = durable(both_ways(edges))
     reached = nodes.select(F.col("node").alias("source"), "node", F.lit(0).alias("dist"))
-    front = reached
-    for d in range(1, most + 1):
+    front, d = reached, 0
+    while True:
+        d += 1
         new = front.join(both.select(F.col("i").alias("node"), F.col("j").alias("to")), "node").select("source", F.col("to").alias("node")).distinct()
-        new = new.join(reached.select("source", "node"), ["source", "node"], "left_anti").withColumn("dist", F.lit(d)).persist()
+        new = durable(new.join(reached.select("source", "node"), ["source", "node"], "left_anti").withColumn("dist", F.lit(d)))
         if new.isEmpty():
-            break
+            return reached.where("dist > 0")
         reached, front = reached.unionByName(new), new
-    return reached.where("dist > 0")
+        if d % every == 0:
+            reached = durable(reached)
 
 
 def path_measures(paths: DataFrame, n: int) -> DataFrame:
@@ -201,47 +207,55 @@ def scale_weights(edges: DataFrame, invert: bool = False) -> DataFrame:
 # Similarity of the distributions of values in two regions.
 
 
-def prepared(values: DataFrame, kind: str) -> DataFrame:
-    """(grp, v) as they are, without their group's mean, or as its z scores (population)."""
+def prepared(values: DataFrame, kind: str, of: list[str]) -> DataFrame:
+    """(of, grp, v) as they are, without their group's mean, or as its z scores (population); those of a constant group are 0."""
     if kind == "ks":
         return values
-    facts = values.groupBy("grp").agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
+    facts = values.groupBy(*of, "grp").agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
     v = F.col("v") - F.col("_m")
-    return values.join(facts, "grp").select("grp", (F.try_divide(v, F.col("_s")) if kind == "ks_normalize" else v).alias("v"))
-
-
-def ks_similarity(values: DataFrame, kind: str = "ks") -> DataFrame:
-    """(a, b, w), a < b: 1 less the largest distance of two groups' cumulative distributions."""
-    values = prepared(values, kind)
-    sizes = values.groupBy("grp").agg(F.count("*").alias("n"))
-    groups = sizes.select(F.col("grp").alias("a"), F.col("n").alias("na"))
-    pairs = groups.join(groups.select(F.col("a").alias("b"), F.col("na").alias("nb")), F.col("a") < F.col("b"))
-    rows = pairs.join(values.select(F.col("grp").alias("a"), "v"), "a").select("a", "b", "v", (1.0 / F.col("na")).alias("up"), F.lit(0.0).alias("down"))
-    rows = rows.unionByName(pairs.join(values.select(F.col("grp").alias("b"), "v"), "b").select("a", "b", "v", F.lit(0.0).alias("up"), (1.0 / F.col("nb")).alias("down")))
-    steps = rows.groupBy("a", "b", "v").agg((F.sum("up") - F.sum("down")).alias("s"))
-    run = F.sum("s").over(Window.partitionBy("a", "b").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return steps.withColumn("d", F.abs(run)).groupBy("a", "b").agg((1 - F.max("d")).alias("w"))
-
-
-def jsd_similarity(values: DataFrame, points: int = 256) -> DataFrame:
-    """(a, b, w), a < b: 1 less the Jensen-Shannon distance of two groups' density estimates, each on its own grid from least to largest value."""
-    facts = values.groupBy("grp").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_samp("v").alias("s"))
+    score = F.coalesce(F.try_divide(v, F.col("_s")), F.lit(0.0)) if kind == "ks_normalize" else v
+    return values.join(facts, [*of, "grp"]).select(*of, "grp", score.alias("v"))
+
+
+def ks_similarity(values: DataFrame, kind: str = "ks", of: list[str] = []) -> DataFrame:  # noqa: B006
+    """(of, a, b, w), a < b: 1 less the largest distance of two groups' cumulative distributions; nulls don't count. of: columns that groups lie within."""
+    values = prepared(values.where("v is not null"), kind, of)
+    counts = values.groupBy(*of, "grp", "v").agg(F.count("*").alias("c"))  # equal values of a group meet other groups once
+    sizes = counts.groupBy(*of, "grp").agg(F.sum("c").alias("n"))
+    groups = sizes.select(*of, F.col("grp").alias("a"), F.col("n").alias("na"))
+    other = groups.select(*of, F.col("a").alias("b"), F.col("na").alias("nb"))
+    pairs = (groups.join(other, of) if of else groups.crossJoin(other)).where("a < b")
+    one = lambda name: counts.select(*of, F.col("grp").alias(name), "v", "c")
+    rows = pairs.join(one("a"), [*of, "a"]).select(*of, "a", "b", "v", (F.col("c") / F.col("na")).alias("s"))
+    rows = rows.unionByName(pairs.join(one("b"), [*of, "b"]).select(*of, "a", "b", "v", (-F.col("c") / F.col("nb")).alias("s")))
+    steps = rows.groupBy(*of, "a", "b", "v").agg(F.sum("s").alias("s"))
+    run = F.sum("s").over(Window.partitionBy(*of, "a", "b").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return steps.withColumn("d", F.abs(run)).groupBy(*of, "a", "b").agg((1 - F.max("d")).alias("w"))
+
+
+def jsd_similarity(values: DataFrame, points: int = 256, of: list[str] = []) -> DataFrame:  # noqa: B006
+    """(of, a, b, w), a < b: 1 less the Jensen-Shannon distance of two groups' density estimates, each on its own grid from least to largest value.
+
+    A constant group, or one of a single value, has no density, and its similarities are null; null values don't count."""
+    values = values.where("v is not null")
+    facts = values.groupBy(*of, "grp").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_samp("v").alias("s"))
     facts = facts.withColumn("h", F.col("s") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    grid = facts.select("grp", "h", "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"), "lo", "hi").withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / F.lit(float(points - 1)))
-    z = (F.col("x") - F.col("v")) / F.col("h")
-    density = grid.join(values, "grp").groupBy("grp", "k").agg(F.sum(F.exp(-z * z / 2)).alias("p"))
-    total = density.groupBy("grp").agg(F.sum("p").alias("t"))
-    p = density.join(total, "grp").select("grp", "k", (F.col("p") / F.col("t")).alias("p"))
-    both = p.select(F.col("grp").alias("a"), "k", F.col("p").alias("pa")).join(p.select(F.col("grp").alias("b"), "k", F.col("p").alias("pb")), "k").where("a < b")
+    grid = facts.select(*of, "grp", "h", "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"), "lo", "hi").withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / F.lit(float(points - 1)))
+    z = F.try_divide(F.col("x") - F.col("v"), F.col("h"))
+    density = grid.join(values, [*of, "grp"]).groupBy(*of, "grp", "k").agg(F.sum(F.exp(-z * z / 2)).alias("p"))
+    total = density.groupBy(*of, "grp").agg(F.sum("p").alias("t"))
+    p = density.join(total, [*of, "grp"]).select(*of, "grp", "k", F.try_divide("p", "t").alias("p"))
+    both = p.select(*of, F.col("grp").alias("a"), "k", F.col("p").alias("pa")).join(p.select(*of, F.col("grp").alias("b"), "k", F.col("p").alias("pb")), [*of, "k"]).where("a < b")
     m = (F.col("pa") + F.col("pb")) / 2
-    part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / m)).otherwise(0.0)
-    return both.groupBy("a", "b").agg((1 - F.sqrt(F.greatest(F.lit(0.0), F.sum(part("pa") + part("pb")) / 2))).alias("w"))
+    part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / m)).when(F.col(c) == 0, 0.0)
+    total = F.sum(part("pa") + part("pb")) / 2
+    return both.groupBy(*of, "a", "b").agg(F.when(total.isNotNull(), 1 - F.sqrt(F.greatest(F.lit(0.0), total))).alias("w"))
 
 
 def region_network(long: DataFrame, labels: DataFrame, metric: str = "jsd") -> DataFrame:
-    """(a, b, w) for all pairs of labels, background too, of the values (feat, v) of one subject."""
-    values = long.join(labels, "feat").select(F.col("label").alias("grp"), "v")
-    return jsd_similarity(values) if metric == "jsd" else ks_similarity(values, metric)
+    """(subject, a, b, w) of each subject, for all pairs of labels, background too."""
+    values = long.join(labels, "feat").select("subject", F.col("label").alias("grp"), "v")
+    return jsd_similarity(values, of=["subject"]) if metric == "jsd" else ks_similarity(values, metric, ["subject"])
 
 
 def group_difference(long: DataFrame, reference: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -251,23 +265,21 @@ def group_difference(long: DataFrame, reference: DataFrame, pairs: DataFrame | N
     return orthogonal_distance(long, fits)
 
 
-
-
-def weighted_distances(edges: DataFrame, source: int, most: int = 1000) -> DataFrame:
+def weighted_distances(edges: DataFrame, source: int) -> DataFrame:
     """(node, dist): least sums of weights from source over undirected edges (i, j, w), w >= 0; unreachable nodes are absent.
 
-    Each turn relaxes the edges of nodes whose distance fell, until none does."""
-    both = edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).persist()
+    Each turn relaxes the edges of nodes whose distance fell, until none does; negative weights are an error."""
+    both = durable(edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")))
+    if not both.where("w < 0").isEmpty():
+        raise ValueError("distances need weights of 0 or more")
     known = edges.sparkSession.createDataFrame([(source, 0.0)], "node long, dist double")
     front = known
-    for _ in range(most):
+    while True:
         new = front.join(both, F.col("node") == F.col("i")).groupBy(F.col("j").cast("long").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
-        better = new.join(known, "node", "left").where(F.col("dist").isNull() | (F.col("new") < F.col("dist"))).select("node", F.col("new").alias("dist")).persist()
-        if better.isEmpty():
-            break
-        known = known.unionByName(better).groupBy("node").agg(F.min("dist").alias("dist")).persist()
-        front = better
-    return known
+        front = durable(new.join(known, "node", "left").where(F.col("dist").isNull() | (F.col("new") < F.col("dist"))).select("node", F.col("new").alias("dist")))
+        if front.isEmpty():
+            return known
+        known = durable(known.unionByName(front).groupBy("node").agg(F.min("dist").alias("dist")))
 
 
 def nearest_nodes(edges: DataFrame, node: int, k: int) -> DataFrame:

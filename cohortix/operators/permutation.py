@@ -3,7 +3,8 @@
 The model: targets (subject, feat, v) on one tested variable and confounds. Targets and tested variable are residualized on
 the confounds; a permutation moves the targets' residuals (Freedman and Lane). Features are scored in blocks: a task holds
 one block of columns for all subjects and scores it under every permutation by matrix products, so what is shuffled is
-the targets, once, and not subjects x features x permutations."""
+the targets, once, and not subjects x features x permutations. Orders of all permutations are made once, on the driver,
+and sent to the tasks, where they have at most MOST_DESIGN numbers; else each task makes them itself."""
 
 from __future__ import annotations
 
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortix.functions import special
+from cohortix.operators import blocks
+from cohortix.shared import durable
 
 #: Subjects and covariates are held by every task: at most so many numbers.
 MOST_DESIGN = 20_000_000
@@ -24,12 +27,17 @@ MOST_DESIGN = 20_000_000
 @dataclass
 class Design:
     subjects: np.ndarray
-    x: np.ndarray  # tested variable without what confounds explain
+    x: np.ndarray  # tested variables without what confounds explain, a column for each
     basis: np.ndarray  # orthonormal columns that span the confounds
     group: np.ndarray  # variance groups, 0 to n - 1
-    block: np.ndarray  # exchangeability blocks
+    block: np.ndarray  # exchangeability blocks, a column for each level, outermost first
     residual_diagonal: np.ndarray
     flips: bool = False  # the tested variable is constant: signs flip, and nobody moves
+    exchange: str = "within"  # within: members of a block; whole: blocks of equal size; nested: as the labels' signs say
+
+    def __post_init__(self) -> None:
+        n = len(self.subjects)
+        self.x, self.block = self.x.reshape(n, -1), self.block.reshape(n, -1)
 
     def signs(self, perm: int, seed: int) -> np.ndarray:
         """+1 or -1 of each subject in a permutation, as blocks.sign_flips() gives them."""
@@ -38,16 +46,36 @@ class Design:
         return np.array([1.0 - 2.0 * (int(hashlib.md5(f"{seed}:{perm}:{s}".encode()).hexdigest()[0], 16) % 2) for s in self.subjects.tolist()])
 
     def order(self, perm: int, seed: int) -> np.ndarray:
-        """Source of each subject in a permutation: shuffled inside blocks; 0 is the identity."""
+        """Source of each subject in a permutation, as blocks.permute_within(), permute_whole() or permute_nested() gives it; 0 is the identity."""
+        n = len(self.subjects)
         if perm == 0:
-            return np.arange(len(self.subjects))
-        keys = [hashlib.md5(f"{seed}:{perm}:{s}".encode()).hexdigest() for s in self.subjects.tolist()]
-        shuffled = sorted(range(len(keys)), key=lambda i: (self.block[i], keys[i], self.subjects[i]))
-        plain = sorted(range(len(keys)), key=lambda i: (self.block[i], self.subjects[i]))
-        out = np.empty(len(keys), dtype=np.int64)
-        out[plain] = shuffled
+            return np.arange(n)
+        if self.exchange == "nested":
+            return blocks.permute_nested(self.block, seed, perm)
+        label, out = self.block[:, 0], np.empty(n, dtype=np.int64)
+        key = lambda x: hashlib.md5(f"{seed}:{perm}:{x}".encode()).hexdigest()
+        plain = sorted(range(n), key=lambda i: (label[i], self.subjects[i]))
+        if self.exchange == "within":
+            keys = [key(s) for s in self.subjects.tolist()]
+            out[plain] = sorted(range(n), key=lambda i: (label[i], keys[i], self.subjects[i]))
+            return out
+        members: dict[int, list[int]] = {}
+        for i in plain:
+            members.setdefault(int(label[i]), []).append(i)
+        sizes: dict[int, list[int]] = {}
+        for b, ms in members.items():
+            sizes.setdefault(len(ms), []).append(b)
+        for same in sizes.values():
+            for to, source in zip(same, sorted(same, key=lambda b: (key(b), b))):
+                out[members[to]] = members[source]
         return out
 
+    def orders(self, n_perm: int, seed: int) -> np.ndarray | None:
+        """Signs or sources in all permutations, a row for each; None where they are too many for one task."""
+        if (n_perm + 1) * len(self.subjects) > MOST_DESIGN:
+            return None
+        return np.stack([self.signs(p, seed).astype(np.int8) if self.flips else self.order(p, seed).astype(np.int32) for p in range(n_perm + 1)])
+
 
 def thin_basis(z: np.ndarray) -> np.ndarray:
     """Orthonormal columns of the span of z, without directions of no length."""
@@ -57,75 +85,122 @@ def thin_basis(z: np.ndarray) -> np.ndarray:
     return u[:, s > s.max() * max(z.shape) * np.finfo(float).eps] if s.max() > 0 else u[:, :0]
 
 
-def design(subjects: DataFrame, tested: str, confounds: list[str], group: str, block: str, intercept: bool = True) -> Design:
-    """Collects the model's columns, whose size is checked, and splits tested variable and confounds."""
-    width = 4 + len(confounds)
-    rows = subjects.select("subject", F.col(tested).cast("double").alias("x"), *[F.col(c).cast("double") for c in confounds], F.col(group).alias("_g"), F.col(block).alias("_b")).limit(MOST_DESIGN // width + 1).collect()
+def design(subjects: DataFrame, tested: str | list[str], confounds: list[str], group: str | None, block: str | list[str], intercept: bool = True, exchange: str = "within", least: int = 1) -> Design:
+    """Collects the model's columns, whose size is checked, and splits tested variables and confounds.
+
+    Without group, subjects that can change places are a variance group; subjects of groups of fewer than least are left out."""
+    tested, block = [tested] if isinstance(tested, str) else tested, [block] if isinstance(block, str) else block
+    width = 3 + len(confounds) + len(tested) + len(block)
+    columns = [F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(tested)] + [F.col(c).cast("double").alias(f"_z{k}") for k, c in enumerate(confounds)]
+    labels = [F.col(c).alias(f"_b{k}") for k, c in enumerate(block)] + ([F.col(group).alias("_g")] if group else [])
+    rows = subjects.select("subject", *columns, *labels).limit(MOST_DESIGN // width + 1).collect()
     if len(rows) * width > MOST_DESIGN:
         raise ValueError("the design is too large for one task")
     rows.sort(key=lambda r: r["subject"])
-    z = np.array([[r[c] for c in confounds] for r in rows], dtype=float).reshape(len(rows), len(confounds))
-    flips = len({r["x"] for r in rows}) == 1
+    code = lambda c: np.unique(np.array([r[c] for r in rows]), return_inverse=True)[1]
+    label = np.array([[r[f"_b{k}"] for k in range(len(block))] for r in rows], dtype=np.int64) if exchange == "nested" else np.stack([code(f"_b{k}") if exchange == "within" else np.array([r[f"_b{k}"] for r in rows], dtype=np.int64) for k in range(len(block))], axis=1)
+    vg = code("_g") if group else automatic_groups(label, exchange)
+    keep = np.bincount(vg)[vg] >= least
+    rows, label, vg = [r for r, k in zip(rows, keep) if k], label[keep], np.unique(vg[keep], return_inverse=True)[1]
+    z = np.array([[r[f"_z{k}"] for k in range(len(confounds))] for r in rows], dtype=float).reshape(len(rows), len(confounds))
+    x = np.array([[r[f"_x{k}"] for k in range(len(tested))] for r in rows], dtype=float).reshape(len(rows), len(tested))
+    if np.isnan(x).any() or np.isnan(z).any():
+        raise ValueError("the design has missing values")
+    flips = len(tested) == 1 and len(set(x[:, 0].tolist())) == 1
     if intercept and not flips:
         z = np.concatenate((np.ones((len(rows), 1)), z), axis=1)
     basis = thin_basis(z)
-    x = np.array([r["x"] for r in rows])
     x = x - basis @ (basis.T @ x)
-    squares = x @ x
-    diagonal = 1 - (basis**2).sum(axis=1) - (x * x / squares if squares > 0 else 0)
-    return Design(np.array([r["subject"] for r in rows]), x, basis, np.unique(np.array([r["_g"] for r in rows]), return_inverse=True)[1], np.unique(np.array([r["_b"] for r in rows]), return_inverse=True)[1], diagonal, flips)
+    both = thin_basis(x)
+    diagonal = 1 - (basis**2).sum(axis=1) - (both**2).sum(axis=1)
+    return Design(np.array([r["subject"] for r in rows]), x, basis, vg, label, diagonal, flips, exchange)
+
+
+def automatic_groups(label: np.ndarray, exchange: str) -> np.ndarray:
+    """Variance groups: sets of subjects that can change places."""
+    if exchange == "nested":
+        return blocks.variance_groups_nested(label)
+    block = np.unique(label[:, 0], return_inverse=True)[1]
+    if exchange == "within":
+        return block
+    order = np.argsort(block, kind="stable")
+    place = np.empty(len(block), dtype=np.int64)
+    size = np.bincount(block)
+    place[order] = np.arange(len(block)) - np.repeat(np.cumsum(size) - size, size)
+    return np.unique(np.stack((size[block], place), axis=1), axis=0, return_inverse=True)[1].ravel()
 
 
 def v_scores(y: np.ndarray, d: Design) -> tuple[np.ndarray, np.ndarray]:
-    """(v, df) of each column of y, subjects x features, residuals of the confounds moved or not.
+    """(v, df) of the first tested variable in each column of y, subjects x features, residuals of the confounds moved or not.
 
-    v is the slope times the root of the tested variable's squares weighted by each group's residual precision."""
+    v is the slope over the root of its variance, in which each group's residual precision weighs its subjects."""
     y = y - d.basis @ (d.basis.T @ y)
-    slope = d.x @ y / (d.x @ d.x)
-    rest = y - np.outer(d.x, slope)
+    slope = np.linalg.lstsq(d.x, y, rcond=None)[0]
+    rest = y - d.x @ slope
     n = d.group.max() + 1
     sums = np.zeros((n, y.shape[1]))
     np.add.at(sums, d.group, rest * rest)
     free = np.bincount(d.group, weights=d.residual_diagonal, minlength=n)
-    squares = np.bincount(d.group, weights=d.x * d.x, minlength=n)
+    products = np.stack([d.x[d.group == g].T @ d.x[d.group == g] for g in range(n)])
     with np.errstate(divide="ignore", invalid="ignore"):
         weight = free[:, None] / sums
-        v = slope * np.sqrt((weight * squares[:, None]).sum(axis=0))
+        if d.x.shape[1] == 1:
+            v = slope[0] * np.sqrt((weight * products[:, 0]).sum(axis=0))
+        else:
+            gram = np.einsum("gf,gij->fij", weight, products)
+            v = slope[0] / np.sqrt(np.linalg.pinv(gram)[:, 0, 0])
         size = weight * np.bincount(d.group, minlength=n)[:, None]
         df = (1 / 3) / ((1 - size / size.sum(axis=0)) ** 2 / free[:, None]).sum(axis=0)
     return v, df
 
 
 def t_scores(y: np.ndarray, d: Design) -> tuple[np.ndarray, np.ndarray]:
-    """(t, df) of each column of y: ordinary least squares, one variance for all."""
+    """(t, df) of the first tested variable in each column of y: ordinary least squares, one variance for all."""
     y = y - d.basis @ (d.basis.T @ y)
-    squares = d.x @ d.x
-    slope = d.x @ y / squares
-    rest = y - np.outer(d.x, slope)
-    df = len(y) - d.basis.shape[1] - 1
+    slope = np.linalg.lstsq(d.x, y, rcond=None)[0]
+    rest = y - d.x @ slope
+    df = len(y) - d.basis.shape[1] - d.x.shape[1]
     with np.errstate(divide="ignore", invalid="ignore"):
-        return slope / np.sqrt((rest * rest).sum(axis=0) / df / squares), np.full(y.shape[1], float(df))
+        return slope[0] / np.sqrt((rest * rest).sum(axis=0) / df * np.linalg.pinv(d.x.T @ d.x)[0, 0]), np.full(y.shape[1], float(df))
+
+
+def missing_values(long: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(feat, n_missing) of the features that lack a value, or have null or NaN, for some of subjects; what scored() refuses."""
+    known = long.join(subjects.select("subject"), "subject", "left_semi").where("v is not null and not isnan(v)").groupBy("feat").agg(F.count("*").alias("_n"))
+    total = F.broadcast(subjects.agg(F.count("*").alias("_all")))
+    counts = long.select("feat").distinct().join(known, "feat", "left").crossJoin(total)
+    return counts.select("feat", (F.col("_all") - F.coalesce("_n", F.lit(0))).alias("n_missing")).where("n_missing > 0")
+
 
+def scored(long: DataFrame, d: Design, n_perm: int, seed: int = 0, use_z: bool = False, most_values: int = 4_000_000, statistic: str = "v") -> DataFrame:
+    """(perm, feat, v) of every feature, observed (perm 0) and permuted; statistic v or t; use_z: as normal scores.
 
-def scored(long: DataFrame, d: Design, n_perm: int, seed: int = 0, use_z: bool = False, block_size: int = 4096, statistic: str = "v") -> DataFrame:
-    """(perm, feat, v) of every feature, observed (perm 0) and permuted; statistic v or t; use_z: as normal scores."""
+    A block of features holds most_values values at most. A feature without a value for each subject of the design is an
+    error, as a missing target can't be permuted."""
     kind = {"v": v_scores, "t": t_scores}[statistic]
+    spark = long.sparkSession
+    orders = d.orders(n_perm, seed)
+    sent = spark.sparkContext.broadcast((d, orders))
 
     def score(block: pd.DataFrame) -> pd.DataFrame:
+        d, orders = sent.value
         at = pd.Series(np.arange(len(d.subjects)), index=d.subjects)
         feats, column = np.unique(block["feat"].to_numpy(), return_inverse=True)
-        y = np.zeros((len(d.subjects), len(feats)))
+        y = np.full((len(d.subjects), len(feats)), np.nan)
         y[at.loc[block["subject"]].to_numpy(), column] = block["v"].to_numpy(dtype=float)
-        fitted = d.basis @ (d.basis.T @ y)
-        rest = y - fitted
+        if np.isnan(y).any():
+            raise ValueError(f"feature {feats[np.isnan(y).any(axis=0)][0]} has missing values; drop these subjects or features first")
+        rest = y - d.basis @ (d.basis.T @ y)
         out = []
         for p in range(n_perm + 1):
-            v, df = kind(rest * d.signs(p, seed)[:, None] if d.flips else rest[d.order(p, seed)], d)
+            o = orders[p] if orders is not None else d.signs(p, seed) if d.flips else d.order(p, seed)
+            v, df = kind(rest * o[:, None] if d.flips else rest[o], d)
             out.append(pd.DataFrame({"perm": np.int32(p), "feat": feats.astype(np.int32), "v": special.g_to_z(v, df) if use_z else v}))
         return pd.concat(out)
 
-    known = long.sparkSession.createDataFrame([(int(s),) for s in d.subjects], "subject bigint")
-    rows = long.join(known, "subject", "left_semi").select("subject", "feat", "v", F.floor(F.col("feat") / block_size).alias("_block"))
+    width = max(1, min(4096, most_values // max(1, len(d.subjects))))
+    known = F.broadcast(spark.createDataFrame([(int(s),) for s in d.subjects], "subject bigint"))  # bounded with the design
+    rows = long.join(known, "subject", "left_semi").select("subject", "feat", "v", F.floor(F.col("feat") / width).alias("_block"))
     return rows.groupBy("_block").applyInPandas(lambda f: score(f), "perm int, feat int, v double")
 
 
@@ -144,10 +219,10 @@ def corrected_p(scores: DataFrame, maxima: DataFrame, n_perm: int, two_sided: bo
     return observed.crossJoin(F.broadcast(sorted_max)).select("feat", "v", ((n_perm + 1 - below) / F.lit(float(n_perm + 1))).alias("p"))
 
 
-def permuted_v(long: DataFrame, subjects: DataFrame, tested: str, confounds: list[str], group: str, block: str, n_perm: int = 100, seed: int = 0, use_z: bool = False, two_sided: bool = True) -> DataFrame:
-    """(feat, v, p) of the whole test."""
-    d = design(subjects, tested, confounds, group, block)
-    scores = scored(long, d, n_perm, seed, use_z).persist()
+def permuted_v(long: DataFrame, subjects: DataFrame, tested: str | list[str], confounds: list[str], group: str | None, block: str | list[str], n_perm: int = 100, seed: int = 0, use_z: bool = False, two_sided: bool = True, exchange: str = "within", least: int = 1) -> DataFrame:
+    """(feat, v, p) of the whole test; exchange, group and least as in design(). Scores are written to the shared folder once."""
+    d = design(subjects, tested, confounds, group, block, exchange=exchange, least=least)
+    scores = durable(scored(long, d, n_perm, seed, use_z))
     return corrected_p(scores, null_maxima(scores, two_sided), n_perm, two_sided)
 
 

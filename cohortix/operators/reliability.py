@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortix.functions import special
+from cohortix.shared import placed
 
 from .blocks import shuffle_key
 from .stats import residualize
@@ -16,8 +17,13 @@ def split_half(subjects: DataFrame, seed: int = 2, stratify: str | None = None,
     """(subject, half): halves 1 and 2; in each stratum, or with groups kept whole, the first half of a shuffled order (the smaller of an odd number)."""
     unit = group or "subject"
     units = subjects.select(unit, *([stratify] if stratify else [])).distinct()
-    of = Window.partitionBy(stratify) if stratify else Window.partitionBy(F.lit(0))
-    ranked = units.withColumn("_r", F.row_number().over(of.orderBy(shuffle_key(seed, F.lit(0), unit), unit))).withColumn("_n", F.count("*").over(of))
+    key = shuffle_key(seed, F.lit(0), unit)
+    if stratify:
+        of = Window.partitionBy(stratify)
+        ranked = units.withColumn("_r", F.row_number().over(of.orderBy(key, unit))).withColumn("_n", F.count("*").over(of))
+    else:
+        total = F.broadcast(units.agg(F.count("*").alias("_n")))
+        ranked = placed(units.withColumn("_key", key), "_key", unit).withColumn("_r", F.col("place") + 1).crossJoin(total)
     halves = ranked.select(unit, *([stratify] if stratify else []), F.when(F.col("_r") <= F.floor(F.col("_n") / 2), 1).otherwise(2).alias("half"))
     keys = [unit, *([stratify] if stratify else [])]
     return subjects.join(halves, keys).select("subject", "half")

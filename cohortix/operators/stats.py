@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortix.functions import special
+from cohortix.shared import placed
 
 
 def cohens_d(long: DataFrame) -> DataFrame:
@@ -82,12 +83,23 @@ def t_p_value(t: Column, df: Column) -> Column:
 
 
 def fdr(df: DataFrame, p: str = "p", q: str = "q", *by: str) -> DataFrame:
-    """Benjamini-Hochberg q of each row's p: the least p m / rank among those no better, 1 at most; null p has null q, and doesn't count."""
+    """Benjamini-Hochberg q of each row's p: the least p m / rank among those no better, 1 at most; null p has null q, and doesn't count.
+
+    Without by, rows are ranked in ranges of p side by side, and each range takes the least of those after it."""
     known = F.col(p).isNotNull()
-    of = Window.partitionBy(known, *by)
-    ranked = df.withColumn("_m", F.count(p).over(of)).withColumn("_rank", F.row_number().over(of.orderBy(p)))
-    least = F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(of.orderBy("_rank").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return ranked.withColumn(q, F.when(known, F.least(least, F.lit(1.0)))).drop("_m", "_rank")
+    if by:
+        of = Window.partitionBy(known, *by)
+        ranked = df.withColumn("_m", F.count(p).over(of)).withColumn("_rank", F.row_number().over(of.orderBy(p)))
+        least = F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(of.orderBy("_rank").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        return ranked.withColumn(q, F.when(known, F.least(least, F.lit(1.0)))).drop("_m", "_rank")
+    ranked = placed(df.where(known), F.col(p))
+    m = ranked.agg(F.count("*").alias("_m"))
+    ranked = ranked.crossJoin(F.broadcast(m)).withColumn("_r", F.col(p) * F.col("_m") / (F.col("place") + 1))
+    after = ranked.groupBy("_part").agg(F.min("_r").alias("_r"))
+    after = after.select("_part", F.min("_r").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+    inside = F.min("_r").over(Window.partitionBy("_part").orderBy("place").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    out = ranked.join(F.broadcast(after), "_part").withColumn(q, F.least(inside, F.col("_after"), F.lit(1.0)))
+    return out.select(*df.columns, q).unionByName(df.where(~known).select(*df.columns, F.lit(None).cast("double").alias(q)))
 
 
 def one_sample_summary(long: DataFrame, covariates: DataFrame, names: list[str], mean: float = 0.0, mask: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cohortix.operators import geometry, matrix, networks
 
-from .matrix_queries import E, cohort, feats, labels7, r6, table
+from .matrix_queries import E, cohort, feats, holes, labels7, r6, table
+from .stat_queries import DISTANCE, ORTH, p_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -155,9 +156,35 @@ for _name, _measures in {
     query(None, _name)(_graph_measure(_measures))
 
 
+def _node_measure(name):
+    def run(spark, d):
+        e = graph(spark, d).select(F.lit(0).cast("long").alias("graph"), "i", "j")
+        out = networks.graph_measures(e, nodes(spark).select(F.lit(0).cast("long").alias("graph"), "node"), [name], each=True)
+        return out.select("name", r6("value").alias("value"))
+
+    return run
+
+
+#: Shortest paths and their number, from every node, level by level.
+SIGMA = P + ", sg(d, source, node, sigma) AS (SELECT 0, node, node, 1.0::DOUBLE FROM n UNION ALL (SELECT sg.d + 1, sg.source, g.j, sum(sigma) FROM sg JOIN g ON sg.node = g.i JOIN sp ON sp.source = sg.source AND sp.node = g.j AND sp.dist = sg.d + 1 GROUP BY sg.d, sg.source, g.j))"
+
+query(
+    SIGMA + ", bc AS (SELECT v.node, sum(x.sigma * y.sigma / z.sigma) AS b FROM n v JOIN sg x ON x.node = v.node JOIN sg y ON y.source = v.node JOIN sg z ON z.source = x.source AND z.node = y.node "
+    "WHERE x.source <> v.node AND y.node <> v.node AND x.source <> y.node AND x.d + y.d = z.d GROUP BY v.node) SELECT 'avg_betweenness_centrality_' || n.node AS name, round(coalesce(b, 0) / (63 * 62), 6) AS value FROM n LEFT JOIN bc USING (node)",
+    "betweenness_by_node",
+)(_node_measure("avg_betweenness_centrality"))
+
+query(
+    P + ", nb AS (SELECT i AS c, j AS node FROM g), ed AS (SELECT a.c, g.i, g.j FROM g JOIN nb a ON a.node = g.i JOIN nb b ON b.c = a.c AND b.node = g.j), "
+    "lw(c, source, node, dist) AS (SELECT c, node, node, 0 FROM nb UNION SELECT lw.c, source, ed.j, dist + 1 FROM lw JOIN ed ON ed.c = lw.c AND lw.node = ed.i WHERE dist < 10), ls AS (SELECT c, source, node, min(dist) AS dist FROM lw GROUP BY c, source, node HAVING min(dist) > 0), "
+    "le AS (SELECT c, sum(1.0 / dist) AS e FROM ls GROUP BY c) SELECT 0::BIGINT AS graph, 'local_eff' AS name, round(sum(CASE WHEN degree > 1 THEN coalesce(e, 0) / (degree * (degree - 1)) ELSE 0 END) / 64, 6) AS value FROM dg LEFT JOIN le ON c = node",
+    "local_efficiency_avg",
+)(lambda spark, d: _graph_measure(["local_eff"])(spark, d).withColumn("value", r6("value")))
+
+
 # similarity of regions: values of subject by its label
 
-GV = f"WITH {E}, r AS (SELECT label AS grp, v FROM e WHERE feat = 5)"
+GV = f"WITH {E}, r AS (SELECT label AS grp, v FROM e)"
 KS = (
     "z AS (SELECT grp, count(*) AS n FROM u GROUP BY grp), pr AS (SELECT a.grp AS a, b.grp AS b, a.n AS na, b.n AS nb FROM z a JOIN z b ON a.grp < b.grp), "
     "p AS (SELECT a, b, v, 1.0::DOUBLE / na AS s FROM pr JOIN u ON grp = a UNION ALL SELECT a, b, v, -1.0::DOUBLE / nb FROM pr JOIN u ON grp = b), q AS (SELECT a, b, v, sum(s) AS s FROM p GROUP BY a, b, v), "
@@ -166,7 +193,7 @@ KS = (
 
 
 def _groups(spark, d):
-    return matrix.index_slice(cohort(spark, d, "label"), 5, 6).select(F.col("label").alias("grp"), "v")
+    return cohort(spark, d, "label").select(F.col("label").alias("grp"), "v")
 
 
 for _kind, _v in {"ks": "v", "ks_demean": "v - avg(v) OVER (PARTITION BY grp)", "ks_normalize": "(v - avg(v) OVER (PARTITION BY grp)) / stddev_pop(v) OVER (PARTITION BY grp)"}.items():
@@ -183,10 +210,28 @@ def roi_network_jsd(spark, d):
     return networks.jsd_similarity(_groups(spark, d)).withColumn("w", r6("w"))
 
 
-@query()
+@query(
+    f"WITH {E}, u AS (SELECT subject, feat % 7 AS grp, v FROM e), z AS (SELECT subject, grp, count(*) AS n FROM u GROUP BY subject, grp), "
+    "pr AS (SELECT a.subject, a.grp AS a, b.grp AS b, a.n AS na, b.n AS nb FROM z a JOIN z b ON a.subject = b.subject AND a.grp < b.grp), "
+    "p AS (SELECT pr.subject, a, b, v, 1.0::DOUBLE / na AS s FROM pr JOIN u ON u.subject = pr.subject AND grp = a UNION ALL SELECT pr.subject, a, b, v, -1.0::DOUBLE / nb FROM pr JOIN u ON u.subject = pr.subject AND grp = b), "
+    "q AS (SELECT subject, a, b, v, sum(s) AS s FROM p GROUP BY subject, a, b, v), w AS (SELECT subject, a, b, abs(sum(s) OVER (PARTITION BY subject, a, b ORDER BY v)) AS d FROM q) SELECT subject, CAST(a AS INT) AS a, CAST(b AS INT) AS b, round(1 - max(d), 6) AS w FROM w GROUP BY subject, a, b"
+)
 def region_network(spark, d):
-    one = cohort(spark, d).where("subject = 1").select("feat", "v")
-    return networks.region_network(one, labels7(spark), "ks").withColumn("w", r6("w"))
+    return networks.region_network(cohort(spark, d), labels7(spark), "ks").select("subject", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), r6("w").alias("w"))
+
+
+@query(f"WITH {E}, u AS (SELECT label AS grp, CASE WHEN label = 3 THEN 1 ELSE v END AS v FROM e), g AS (SELECT DISTINCT grp FROM u) SELECT a.grp AS a, b.grp AS b, a.grp = 3 OR b.grp = 3 AS unknown FROM g a JOIN g b ON a.grp < b.grp")
+def roi_network_constant(spark, d):
+    """A region of one value has no density."""
+    flat = _groups(spark, d).withColumn("v", F.when(F.col("grp") == 3, 1.0).otherwise(F.col("v")))
+    return networks.jsd_similarity(flat).select("a", "b", F.col("w").isNull().alias("unknown"))
+
+
+@query(f"WITH {E}, h AS (SELECT subject, feat, CASE WHEN (subject * 7 + feat) % 13 <> 0 THEN v END AS v FROM e WHERE (subject + feat) % 17 <> 0) SELECT a.feat AS i, b.feat AS j, round(corr(a.v, b.v), 6) + 0.0 AS w FROM h a JOIN h b ON a.subject = b.subject AND a.feat < b.feat WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY a.feat, b.feat")
+def corr_network_nulls(spark, d):
+    """Nulls, and rows that are missing altogether: each pair of features counts the subjects that have both."""
+    long = holes(cohort(spark, d)).where("(subject + feat) % 17 <> 0")
+    return networks.correlation_edges(long).withColumn("w", r6("w"))
 
 
 # a grid of 20 x 20 vertices, two triangles in each cell, on the surface z = (x + 2 y) % 5 / 10
@@ -321,11 +366,15 @@ def connected_threshold(spark, d):
     return networks.connecting_threshold(edges(spark, d), 0.9)
 
 
-@query()
+@query(
+    f"WITH {E}, {ORTH.format(w='WHERE subject % 2 = 0')} {DISTANCE}, cr AS (SELECT i, j, corr(x, y) AS r, count(*) AS n FROM pr WHERE subject % 2 = 0 GROUP BY i, j), tt AS (SELECT i * 1000 + j AS id, i, j, r * sqrt((n - 2) / (1 - r * r)) AS t, n FROM cr), "
+    f"{p_sql('tt', 't', '(n - 2)')} SELECT ds.i, ds.j, CASE WHEN any_value(p) <= 0.5 THEN count(*) ELSE 0 END AS n, CASE WHEN any_value(p) <= 0.5 THEN round(avg(distance), 6) END AS mean FROM ds JOIN pv ON pv.i = ds.i AND pv.j = ds.j GROUP BY ds.i, ds.j"
+)
 def significant_differences(spark, d):
-    long = matrix.index_slice(cohort(spark, d), 0, 6)
+    long = cohort(spark, d)
     reference = table(spark, d, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("subject"))
-    return networks.significant_distances(networks.group_difference(long, reference), long, reference, 0.5).withColumn("distance", r6("distance"))
+    out = networks.significant_distances(networks.group_difference(long, reference), long, reference, 0.5)
+    return out.groupBy("i", "j").agg(F.count("distance").alias("n"), r6(F.avg("distance")).alias("mean"))
 
 
 #: Grayordinates by rule: 30 left vertices of 40, 10 voxels in two structures.

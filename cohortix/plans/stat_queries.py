@@ -84,16 +84,40 @@ def onesample_summary(spark, d):
     return stats.one_sample_summary(cohort(spark, d), covariates(spark, d), ["age"]).select("feat", "n", r6("t").alias("t"), r6("d").alias("d"))
 
 
-@query()
+def p_sql(rows: str, t: str, df: str) -> str:
+    """CTEs sk and pv: rows with p, two-sided, of Student's t: the share of cos^(df - 1) beyond the angle of t, by Simpson's rule."""
+    angle, at = f"atan(abs({t}) / sqrt({df}))", "k / 2000.0::DOUBLE"
+    inside, whole = f"sum(w * pow(cos({angle} * {at}), {df} - 1)) * any_value({angle})", f"sum(w * pow(cos(pi() / 2 * {at}), {df} - 1)) * pi() / 2"
+    return f"sk AS (SELECT range AS k, CASE WHEN range IN (0, 2000) THEN 1 WHEN range % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(2001)), pv AS (SELECT {rows}.*, p FROM {rows} JOIN (SELECT id, 1 - {inside} / ({whole}) AS p FROM {rows}, sk GROUP BY id) USING (id))"
+
+
+@query(
+    f"WITH {E}, {_slope('e')}, r AS (SELECT feat, v - s * a AS v FROM x JOIN b USING (feat)), t AS (SELECT feat AS id, feat, count(v) AS n, avg(v) / (stddev_samp(v) / sqrt(count(v))) AS t, avg(v) / stddev_pop(v) AS d FROM r GROUP BY feat), {p_sql('t', 't', '(n - 1)')}, "
+    "k AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM pv) SELECT feat, n, round(t, 5) + 0.0 AS t, round(p, 5) AS p, round(least(1.0, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 5) AS q, round(d, 5) + 0.0 AS d FROM k"
+)
 def onesample_p_values(spark, d):
-    return stats.one_sample_summary(cohort(spark, d), covariates(spark, d), ["age"])
+    out = stats.one_sample_summary(cohort(spark, d), covariates(spark, d), ["age"])
+    return out.select("feat", "n", *[F.round(F.col(c), 5).alias(c) for c in ("t", "p", "q", "d")])
+
+
+@query("WITH p AS (SELECT c_custkey, ((c_custkey * 7919) % 10007) / 10007.0::DOUBLE AS p FROM customer), r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p) AS k FROM p) SELECT c_custkey, round(least(1.0, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r")
+def bh_fdr_all(spark, d):
+    p = table(spark, d, "customer").select("c_custkey", ((F.col("c_custkey") * 7919 % 10007) / F.lit(10007.0)).alias("p"))
+    return stats.fdr(p, "p", "q").select("c_custkey", r6("q").alias("q"))
+
+
+@query(f"WITH {E}, {HOLES}, s AS (SELECT vec_id AS subject FROM embeddings) SELECT feat, count(*) FILTER (v IS NULL) AS n_missing FROM h GROUP BY feat HAVING count(*) FILTER (v IS NULL) > 0")
+def perm_missing_rows(spark, d):
+    """What the permutation test refuses: features that lack values of subjects, by null or by missing rows."""
+    long = holes(cohort(spark, d)).where("v is not null")
+    return permutation.missing_values(long, _subjects(spark, d))
 
 
 # blocks and permutations
 
 FAMILIES = (
     "WITH c AS (SELECT c_custkey AS subject, c_nationkey AS fam, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'twin' WHEN 'BUILDING' THEN 'triplet' WHEN 'FURNITURE' THEN 'single' WHEN 'HOUSEHOLD' THEN 'sibling' END AS rel, "
-    "CASE WHEN c_custkey % 3 = 0 THEN 'monozygotic' WHEN c_custkey % 3 = 1 THEN 'dizygotic' END AS zyg FROM customer WHERE c_custkey % 20 = c_nationkey % 20), "
+    "CASE WHEN c_custkey % 3 = 0 THEN 'monozygotic' WHEN c_custkey % 3 = 1 THEN 'dizygotic' END AS zyg FROM customer), "
     "k AS (SELECT subject, fam, CASE WHEN rel IN ('twin', 'triplet') AND zyg IS DISTINCT FROM 'monozygotic' THEN 'sibling' ELSE rel END AS rel FROM c WHERE rel IS NOT NULL), "
     "s AS (SELECT fam, string_agg(rel, '|' ORDER BY subject) AS sig, min(subject) AS first FROM k GROUP BY fam), t AS (SELECT sig, row_number() OVER (ORDER BY min(first)) - 1 AS family_type FROM s GROUP BY sig) "
     "SELECT subject, CAST(family_type AS BIGINT) AS family_type, CAST(dense_rank() OVER (ORDER BY fam) - 1 AS BIGINT) AS family, CAST(dense_rank() OVER (ORDER BY rel) - 1 AS BIGINT) AS relation FROM k JOIN s USING (fam) JOIN t USING (sig)"
@@ -105,7 +129,7 @@ def family_blocks(spark, d):
     seg = F.col("c_mktsegment")
     rel = F.when(seg == "AUTOMOBILE", "twin").when(seg == "BUILDING", "triplet").when(seg == "FURNITURE", "single").when(seg == "HOUSEHOLD", "sibling")
     zyg = F.when(F.col("c_custkey") % 3 == 0, "monozygotic").when(F.col("c_custkey") % 3 == 1, "dizygotic")
-    rows = table(spark, d, "customer").where("c_custkey % 20 = c_nationkey % 20").select(F.col("c_custkey").alias("subject"), F.col("c_custkey").alias("at"), F.col("c_nationkey").alias("fam"), rel.alias("rel"), zyg.alias("zyg"))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_custkey").alias("at"), F.col("c_nationkey").alias("fam"), rel.alias("rel"), zyg.alias("zyg"))
     return blocks.family_blocks(rows, "at", "fam", "rel", "zyg").select("subject", *[F.col(c).cast("long").alias(c) for c in ("family_type", "family", "relation")])
 
 
@@ -137,10 +161,9 @@ def perm_whole_block(spark, d):
     return blocks.permute_whole(s, blocks.permutations(2, spark), "b", 2)
 
 
-@query(f"WITH {E}, {SUBJECTS}, {PERMS.format(n=3)}, {WITHIN.format(b='label', s=1, t='su')} SELECT perm, dst AS subject, feat, v FROM mv JOIN e ON e.subject = src WHERE feat < 8")
+@query(f"WITH {E}, {SUBJECTS}, {PERMS.format(n=3)}, {WITHIN.format(b='label', s=1, t='su')} SELECT perm, dst AS subject, feat, v FROM mv JOIN e ON e.subject = src")
 def perm_apply(spark, d):
-    long = matrix.index_slice(cohort(spark, d), 0, 8)
-    return blocks.apply_permutation(long, blocks.permute_within(_subjects(spark, d), blocks.permutations(2, spark), "label", 1))
+    return blocks.apply_permutation(cohort(spark, d), blocks.permute_within(_subjects(spark, d), blocks.permutations(2, spark), "label", 1))
 
 
 @query("SELECT c_custkey AS subject, CAST(dense_rank() OVER (ORDER BY c_nationkey) - 1 AS BIGINT) AS vg FROM customer")
@@ -166,10 +189,9 @@ def sign_flips(spark, d):
     return blocks.sign_flips(_subjects(spark, d), blocks.permutations(5, spark), 3)
 
 
-@query(f"WITH {E}, {SUBJECTS}, {PERMS.format(n=3)}, {WITHIN.format(b='label', s=1, t='su')}, r AS (SELECT subject, feat, avg(v) OVER (PARTITION BY feat) AS m, v FROM e WHERE feat < 8) SELECT perm, dst AS subject, feat, round((v - m) + m, 6) + 0.0 AS v FROM mv JOIN r ON r.subject = src")
+@query(f"WITH {E}, {SUBJECTS}, {PERMS.format(n=3)}, {WITHIN.format(b='label', s=1, t='su')}, r AS (SELECT subject, feat, avg(v) OVER (PARTITION BY feat) AS m, v FROM e) SELECT perm, dst AS subject, feat, round((v - m) + m, 6) + 0.0 AS v FROM mv JOIN r ON r.subject = src")
 def freedman_lane(spark, d):
-    long = matrix.index_slice(cohort(spark, d), 0, 8)
-    return permutation.freedman_lane(long, blocks.permute_within(_subjects(spark, d), blocks.permutations(2, spark), "label", 1)).withColumn("v", r6("v"))
+    return permutation.freedman_lane(cohort(spark, d), blocks.permute_within(_subjects(spark, d), blocks.permutations(2, spark), "label", 1)).withColumn("v", r6("v"))
 
 
 #: v statistics of targets y (perm, subject, feat, y, g) on a tested variable x (subject, x), the intercept confounding.
@@ -214,6 +236,39 @@ def perm_pvalues(spark, d):
     return permutation.corrected_p(scores, permutation.null_maxima(scores), N_PERM).select("feat", r6("v").alias("v"), "p")
 
 
+def study_sql(subjects: str, moves: str, group: str) -> str:
+    """Scores vs of all subjects under moves mv (perm, dst, src), variance groups by an expression of su."""
+    return (
+        f"WITH {E}, su AS ({subjects}), {moves}, pm AS (SELECT perm, dst, src FROM mv UNION ALL SELECT 0, subject, subject FROM su), x AS (SELECT subject, a - avg(a) OVER () AS x FROM (SELECT subject, {AGE} AS a FROM su)), vg AS (SELECT subject, {group} AS g FROM su), "
+        f"c AS (SELECT e.subject, feat, v - avg(v) OVER (PARTITION BY feat) AS y FROM e JOIN su USING (subject)), y AS (SELECT perm, dst AS subject, feat, g, y FROM pm JOIN c ON c.subject = src JOIN vg ON vg.subject = dst), {V}, "
+        "mx AS (SELECT perm, max(abs(v)) AS vmax FROM vs WHERE perm > 0 GROUP BY perm) SELECT feat, round(max(v), 6) + 0.0 AS v, (11 - count(*) FILTER (vmax < abs(v))) / 11.0::DOUBLE AS p FROM vs, mx WHERE vs.perm = 0 GROUP BY feat"
+    )
+
+
+TEN = "q AS (SELECT CAST(range AS INT) AS perm FROM range(1, 11))"
+#: Blocks of five subjects that swap as wholes; those in one place of their blocks share a variance group.
+SWAP = (
+    f"{TEN}, m AS (SELECT b, subject, row_number() OVER (PARTITION BY b ORDER BY subject) AS k FROM su), z AS (SELECT b, count(*) AS size FROM su GROUP BY b), t AS (SELECT size, b AS bt, row_number() OVER (PARTITION BY size ORDER BY b) AS r FROM z), "
+    "f AS (SELECT perm, size, b AS bf, row_number() OVER (PARTITION BY perm, size ORDER BY md5('4:' || perm || ':' || b), b) AS r FROM z, q), mv AS (SELECT perm, x.subject AS dst, y.subject AS src FROM f JOIN t USING (size, r) JOIN m x ON x.b = bt JOIN m y ON y.b = bf AND y.k = x.k)"
+)
+
+
+def _blocks5(spark, d):
+    return covariates(spark, d).withColumn("b", F.floor(F.col("subject") / 5).cast("long"))
+
+
+@query(study_sql("SELECT *, row_number() OVER (PARTITION BY b ORDER BY subject) AS k5, count(*) OVER (PARTITION BY b) AS n5 FROM (SELECT vec_id AS subject, vec_id // 5 AS b FROM embeddings)", SWAP, "n5 * 10 + k5"))
+def perm_pvalues_whole(spark, d):
+    """Blocks of equal size swap; variance groups are made from what can change places."""
+    return permutation.permuted_v(cohort(spark, d), _blocks5(spark, d), "age", [], None, "b", 10, 4, exchange="whole").select("feat", r6("v").alias("v"), "p")
+
+
+@query(study_sql("SELECT vec_id AS subject, label FROM embeddings QUALIFY count(*) OVER (PARTITION BY label) >= 12", f"{TEN}, {WITHIN.format(b='label', s=5, t='su')}", "label"))
+def perm_pvalues_grouped(spark, d):
+    """Members of a label change places; each label is a variance group, and those of fewer than 12 subjects are left out."""
+    return permutation.permuted_v(cohort(spark, d), covariates(spark, d), "age", [], None, "label", 10, 5, least=12).select("feat", r6("v").alias("v"), "p")
+
+
 @query()
 def perm_pvalues_z(spark, d):
     return permutation.permuted_v(cohort(spark, d), covariates(spark, d), "age", ["site"], "label", "label", 10, 1, use_z=True)
@@ -251,6 +306,17 @@ def rely_curve(spark, d):
     return reliability.reliability_curve(cohort(spark, d), halves, [20, 60], 3).withColumn("r", r6("r"))
 
 
+@query(
+    f"WITH {E}, {SUBJECTS}, {HALF}, xa AS (SELECT e.*, half, {AGE} AS a, {SITE} AS c FROM e JOIN hf USING (subject)), sl AS (SELECT half, feat, regr_slope(v, a) AS s FROM xa GROUP BY half, feat), rs AS (SELECT subject, half, feat, v - s * a AS v, c FROM xa JOIN sl USING (half, feat)), "
+    "bs AS (SELECT feat, corr(v, c) AS b FROM rs WHERE half = 1 GROUP BY feat), dr AS (SELECT a.range::INT AS rep, subject FROM range(2) a, hf WHERE half = 2 QUALIFY row_number() OVER (PARTITION BY a.range ORDER BY md5('0:40-' || a.range || ':' || subject), subject) <= 40), "
+    'mp AS (SELECT rep, feat, corr(v, c) AS dd FROM dr JOIN rs USING (subject) GROUP BY rep, feat) SELECT 40::INT AS n, rep AS "repeat", round(corr(dd, b), 6) + 0.0 AS r, count(*) AS n_feats FROM mp JOIN bs USING (feat) WHERE dd IS NOT NULL AND b IS NOT NULL GROUP BY rep'
+)
+def rely_residual(spark, d):
+    halves = reliability.split_half(_subjects(spark, d))
+    c = covariates(spark, d)
+    return reliability.reliability_curve(cohort(spark, d), halves, [40], 2, covariates=c, names=["age"], scores=c.select("subject", F.col("site").alias("score"))).withColumn("r", r6("r"))
+
+
 @query()
 def rely_summary(spark, d):
     halves = reliability.split_half(_subjects(spark, d))
@@ -260,7 +326,7 @@ def rely_summary(spark, d):
 # orthogonal regression
 
 ORTH = (
-    "pr AS (SELECT a.subject, a.feat AS i, b.feat AS j, a.v AS x, b.v AS y FROM e a JOIN e b ON a.subject = b.subject AND a.feat < b.feat WHERE a.feat < 6 AND b.feat < 6), "
+    "pr AS (SELECT a.subject, a.feat AS i, b.feat AS j, a.v AS x, b.v AS y FROM e a JOIN e b ON a.subject = b.subject AND a.feat < b.feat), "
     "ft AS (SELECT i, j, avg(x) AS mx, avg(y) AS my, var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy FROM pr {w} GROUP BY i, j), "
     "sl AS (SELECT i, j, mx, my, ((yy - xx) + sqrt((yy - xx) ** 2 + 4 * xy * xy)) / (2 * xy) AS s FROM ft)"
 )
@@ -268,29 +334,33 @@ ORTH = (
 
 @query(f"WITH {E}, {ORTH.format(w='')} SELECT i, j, round(s, 6) + 0.0 AS slope, round(my - s * mx, 6) + 0.0 AS intercept FROM sl")
 def orth_regression(spark, d):
-    long = matrix.index_slice(cohort(spark, d), 0, 6)
+    long = cohort(spark, d)
     from cohortix.operators import networks
 
     return stats.orthogonal_fit(long, networks.feature_pairs(long)).select("i", "j", r6("slope").alias("slope"), r6("intercept").alias("intercept"))
 
 
-DISTANCE = "SELECT subject, i, j, round(abs(y - m.my - s * (x - m.mx)) / sqrt(1 + s * s), 6) AS distance FROM pr JOIN sl USING (i, j) JOIN (SELECT i, j, avg(x) AS mx, avg(y) AS my FROM pr GROUP BY i, j) m USING (i, j)"
+DISTANCE = ", ds AS (SELECT subject, i, j, abs(y - m.my - s * (x - m.mx)) / sqrt(1 + s * s) AS distance FROM pr JOIN sl USING (i, j) JOIN (SELECT i, j, avg(x) AS mx, avg(y) AS my FROM pr GROUP BY i, j) m USING (i, j)) "
 
 
-@query(f"WITH {E}, {ORTH.format(w='')} {DISTANCE}")
+@query(f"WITH {E}, {ORTH.format(w='')} {DISTANCE} SELECT i, j, count(*) AS n, round(avg(distance), 6) AS mean, round(max(distance), 6) AS largest FROM ds GROUP BY i, j")
 def orth_distance(spark, d):
+    """Distances of all subjects to the lines of all pairs of features, told by pair."""
     from cohortix.operators import networks
 
-    long = matrix.index_slice(cohort(spark, d), 0, 6)
-    return stats.orthogonal_distance(long, stats.orthogonal_fit(long, networks.feature_pairs(long))).withColumn("distance", r6("distance"))
+    long = cohort(spark, d)
+    out = stats.orthogonal_distance(long, stats.orthogonal_fit(long, networks.feature_pairs(long)))
+    return out.groupBy("i", "j").agg(F.count("*").alias("n"), r6(F.avg("distance")).alias("mean"), r6(F.max("distance")).alias("largest"))
 
 
-@query(f"WITH {E}, {ORTH.format(w='WHERE subject % 2 = 0')} {DISTANCE}")
+@query(f"WITH {E}, {ORTH.format(w='WHERE subject % 2 = 0')} {DISTANCE} SELECT subject, count(*) AS n, round(avg(distance), 6) AS mean, round(max(distance), 6) AS largest FROM ds GROUP BY subject")
 def group_diff_network(spark, d):
+    """Distances of all subjects to the lines of the reference subjects, for all pairs of features, told by subject."""
     from cohortix.operators import networks
 
-    long = matrix.index_slice(cohort(spark, d), 0, 6)
-    return networks.group_difference(long, _subjects(spark, d).where("subject % 2 = 0")).withColumn("distance", r6("distance"))
+    long = cohort(spark, d)
+    out = networks.group_difference(long, _subjects(spark, d).where("subject % 2 = 0"))
+    return out.groupBy("subject").agg(F.count("*").alias("n"), r6(F.avg("distance")).alias("mean"), r6(F.max("distance")).alias("largest"))
 
 
 # decompositions and models
@@ -314,7 +384,7 @@ def explained_variance(spark, d):
 
 @query()
 def canica(spark, d):
-    images = table(spark, d, "embeddings").where("label < 4").select(F.col("label").cast("long").alias("subject"), F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("data"))
+    images = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("subject"), F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("data"))
     m = decomposition.stacked(images, 5)
     y = decomposition.can_ica(m, 5, n_init=3)
     return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(y) for j, v in enumerate(row)], "component int, feat int, w double")
@@ -322,14 +392,14 @@ def canica(spark, d):
 
 @query()
 def dictionary_learning(spark, d):
-    images = table(spark, d, "embeddings").where("label < 4").select(F.col("label").cast("long").alias("subject"), F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("data"))
+    images = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("subject"), F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("data"))
     y = decomposition.dictionary(decomposition.stacked(images, 5), 5)
     return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(y) for j, v in enumerate(row)], "component int, feat int, w double")
 
 
 @query()
 def mixed_model(spark, d):
-    long = matrix.index_slice(cohort(spark, d), 0, 8).join(covariates(spark, d), "subject")
+    long = cohort(spark, d).join(covariates(spark, d), "subject")
     return mixed.mixed_models(long.select("feat", "v", "age", "label"), ["age"], "label")
 
 
@@ -347,10 +417,3 @@ def sign_flip_test(spark, d):
     subjects = _subjects(spark, d).withColumn("one", F.lit(1.0))
     model = permutation.design(subjects, "one", [], "label", "label")
     return permutation.null_maxima(permutation.scored(cohort(spark, d), model, 5, seed=3, statistic="t")).select("perm", r6("vmax").alias("vmax"))
-
-
-@query()
-def rely_residual(spark, d):
-    halves = reliability.split_half(_subjects(spark, d))
-    c = covariates(spark, d)
-    return reliability.reliability_curve(cohort(spark, d), halves, [40], 2, covariates=c, names=["age"], scores=c.select("subject", F.col("site").alias("score"))).withColumn("r", r6("r"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortix.operators.tabular import SENTINELS, filter_events
@@ -94,7 +94,11 @@ def decode(path: str, raw: bytes) -> np.ndarray:
 
 def load_arrays(spark: SparkSession, paths: str | list[str], subject: str = r"([^/]+)\.[^/]*$", start: int = 0, stop: int | None = None) -> DataFrame:
     """(subject, path, data): each file decoded in its task and flattened, a slice of it if asked for. subject: pattern of the id in the path."""
-    files = spark.read.format("binaryFile").load(paths)
+    return decode_files(spark.read.format("binaryFile").load(paths), subject, start, stop)
+
+
+def decode_files(files: DataFrame, subject: str = r"([^/]+)\.[^/]*$", start: int = 0, stop: int | None = None) -> DataFrame:
+    """(subject, path, data) of files (path, content), wherever they come from."""
 
     def decoded(batches):
         for b in batches:
@@ -128,13 +132,15 @@ def read_subjects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def catalog_lookup(files: DataFrame, keys: list[str], tokens: list[str]) -> DataFrame:
-    """(path): of the files (path) whose name holds a key and a hemisphere token, that of the first key, first token and shortest name."""
+    """(path): of the files (path) whose name holds a key and a hemisphere token, that of the first key, first token and shortest name.
+
+    One file is kept by an aggregate with partial results, whatever the number of files."""
     spark = files.sparkSession
     order = spark.createDataFrame([(i, k, j, t) for i, k in enumerate(keys) for j, t in enumerate(tokens)], "ki int, key string, ti int, token string")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     hits = files.select("path", name.alias("name")).join(F.broadcast(order), F.col("name").contains(F.col("key")) & F.col("name").contains(F.col("token")))
-    best = Window.orderBy("ki", "ti", F.char_length("name"), "name")
-    return hits.withColumn("_k", F.row_number().over(best)).where("_k = 1").select("path")
+    best = hits.agg(F.min(F.struct("ki", "ti", F.char_length("name").alias("n"), "name", "path")).alias("b"))
+    return best.where("b is not null").select("b.path")
 
 
 def space_options(folders: DataFrame, reserved: list[str]) -> DataFrame:
@@ -158,7 +164,11 @@ def decode_surface(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def load_surface(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, triangles) of one surface file: (vertex, x, y, z) and (tri, a, b, c)."""
-    raw = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    return surface_frames(spark, bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
+
+
+def surface_frames(spark: SparkSession, raw: bytes) -> tuple[DataFrame, DataFrame]:
+    """(vertices, triangles) of the bytes of a surface file."""
     xyz, tri = decode_surface(raw)
     vertices = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(xyz.tolist())], "vertex long, x double, y double, z double")
     return vertices, spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(tri.tolist())], "tri long, a long, b long, c long")
