@@ -66,6 +66,14 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, f"_{name}"
+    while out.lower() in taken:
+        out = f"_{out}"
+    return out
+
+
 def release_memory() -> None:
     """Gives what a Python worker has freed back to the system; workers stay idle between tasks beside those that work."""
     pa.default_memory_pool().release_unused()

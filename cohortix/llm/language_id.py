@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, small_batches
+from .common import free_name, release_memory, small_batches
 
 DIMENSIONS = 1024
 N = 3
@@ -24,6 +24,8 @@ TRAIN_PER_LANGUAGE = 4000
 #: Parts in which the sample is encoded, and so the number of partial sums a language sends to the driver at most.
 TRAIN_PARTS = 16
 SEED = 20
+#: Languages that a model may have; prototypes of all go to every task.
+MOST_LANGUAGES = 10_000
 #: Entries of a block of the (texts x n-grams) count matrix, and n-grams in one product.
 CELLS, GRAMS = 1_000_000, 4096
 #: Scale at which unit vectors are summed as integers, so that prototypes don't depend on the order of the texts.
@@ -113,13 +115,17 @@ def runs(texts: list[str], most_chars: int = 300_000, most_texts: int = CELLS //
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     """Prototypes from the labelled rows (null lang or text: not used), a bounded sample of each language.
 
-    The sample of a language holds about per_language texts, or all if it has fewer; the driver gets TRAIN_PARTS integer
-    vectors for each language at most."""
+    The sample of a language holds about per_language texts, or all if it has fewer; the driver gets a count and TRAIN_PARTS
+    integer vectors for each language at most. More than MOST_LANGUAGES languages are an error."""
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect())
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     share = (F.xxhash64(F.col("id").cast("string"), F.lit("sample")).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
-    sample = rows.join(counts, "lang").where(share < F.lit(float(per_language)) / F.col("n")).select("id", "text", "lang")
+    # rows are judged where they lie, by one number for each language; only the sample is shuffled
+    part = F.create_map(*[F.lit(x) for name, n in counts for x in (name, per_language / n)]) if counts else F.create_map().cast("map<string,double>")
+    sample = rows.where(share < F.element_at(part, F.col("lang").cast("string"))).select("id", "text", "lang")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -188,7 +194,8 @@ def language_id(documents: DataFrame, model: Model, text: str = "text") -> DataF
     A null text or one without letters gets `und` and 0. Rows are independent: repeated rows get equal results, null ids
     pass, an empty table stays empty. Ties go to the first language in alphabetical order. One pass, no shuffle."""
     small_batches(documents.sparkSession)
-    return documents.withColumn("_language", predicted(F.col(text), model)).withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
+    own = free_name(documents, "language")
+    return documents.withColumn(own, predicted(F.col(text), model)).withColumns({"lang_pred": F.col(own)["lang_pred"], "score": F.col(own)["score"]}).drop(own)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
