@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread_join
+from .common import free_name, spread_join
 
 LINES = 3
 BLANKS = " \t\r"
@@ -47,6 +47,7 @@ def line_dedup(documents: DataFrame, size: int = LINES, doc_id: str = "doc_id",
     the join that finds its later occurrences can be split."""
     lines = F.split(F.col(text), "\n")
     key = F.xxhash64(F.col(text))
+    own_id, own_key, own_cut = (free_name(documents, c) for c in ("id_of_line", "key_of_line", "cut_of_line"))
     found = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), key.alias("_key"), F.explode(windows(lines, size)).alias("w")).select("_id", "_key", "w.*")
     place = F.struct("_id", "_key", "first")
     firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("_where"), F.max(place).alias("_last")).where("_where <> _last").drop("_last")
@@ -55,17 +56,19 @@ def line_dedup(documents: DataFrame, size: int = LINES, doc_id: str = "doc_id",
     ranges = later.withColumn("_new", F.when(F.col("first") <= F.lag("last").over(order), 0).otherwise(1)).withColumn("_range", F.sum("_new").over(order))
     ranges = ranges.groupBy("_id", "_key", "_range").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     ranges = ranges.groupBy("_id", "_key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_cut"))
-    out = documents.withColumn("_id", F.col(doc_id)).withColumn("_key", key).join(ranges, ["_id", "_key"], "left")
+    ranges = ranges.select(F.col("_id").alias(own_id), F.col("_key").alias(own_key), F.col("_cut").alias(own_cut))
+    out = documents.withColumn(own_id, F.col(doc_id)).withColumn(own_key, key).join(ranges, [own_id, own_key], "left")
+    cut = F.col(own_cut)
     kept = F.arrays_zip(
-        F.concat(F.array(F.lit(0)), F.transform("_cut", lambda r: r["last"] + 1)).alias("a"),
-        F.concat(F.transform("_cut", lambda r: r["first"]), F.array(F.size(lines))).alias("b"),
+        F.concat(F.array(F.lit(0)), F.transform(cut, lambda r: r["last"] + 1)).alias("a"),
+        F.concat(F.transform(cut, lambda r: r["first"]), F.array(F.size(lines))).alias("b"),
     )
     left = F.flatten(F.transform(kept, lambda r: F.slice(lines, r["a"] + 1, r["b"] - r["a"])))
-    removed = F.aggregate("_cut", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
+    removed = F.aggregate(cut, F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
     return out.withColumns(
         {
             "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"),
             "n_removed": F.coalesce(removed, F.lit(0)).cast("long"),
-            text: F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")),
+            text: F.when(cut.isNull(), F.col(text)).otherwise(F.array_join(left, "\n")),
         }
-    ).drop("_id", "_key", "_cut")
+    ).drop(own_id, own_key, own_cut)
