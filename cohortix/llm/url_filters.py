@@ -17,6 +17,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable, free_name
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_SUPPORT, MIN_CONFIDENCE, MOST_TOKENS = 0.005, 0.6, 3
 LABEL = "label="
@@ -86,18 +88,42 @@ def tokens_column(url: Column) -> Column:
     return tokens(url)
 
 
-def mine(labelled: DataFrame, url: str = "url", label: str = "label", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most_tokens: int = MOST_TOKENS) -> tuple[list[MinedRule], str]:
-    """(rules, default verdict) from rows with a url and a non-null label; all rows count. The default is the commonest label.
+def representatives(rows: DataFrame, least: float) -> dict[str, str]:
+    """Token -> the first, in the alphabet, of the tokens that are in exactly the same rows; for tokens in least rows or more.
+
+    So many tokens occur in that share of the rows at most as a row has, over that share; they go to the driver. Tokens
+    are in the same rows where their counts and 128 bits of their rows' hashes agree."""
+    seen = rows.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("tokens").alias("token"))
+    facts = seen.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("a"), F.bit_xor(F.xxhash64("row", F.lit(2))).alias("b")).where(F.col("n") >= least - 1e-9)
+    first: dict[tuple, str] = {}
+    out = {}
+    for r in sorted(facts.collect(), key=lambda r: r["token"]):
+        out[r["token"]] = first.setdefault((r["n"], r["a"], r["b"]), r["token"])
+    return out
+
+
+def mine(labelled: DataFrame, url: str = "url", label: str = "label", **mining) -> tuple[list[MinedRule], str]:
+    """(rules, default verdict) of mine_all()."""
+    return mine_all(labelled, url, label, **mining)[:2]
+
+
+def mine_all(labelled: DataFrame, url: str = "url", label: str = "label", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most_tokens: int = MOST_TOKENS) -> tuple[list[MinedRule], str, dict[str, str]]:
+    """(rules, default verdict, token -> the token that stands for it in rules) from rows with a url and a non-null label; all rows count. The default is the commonest label.
 
-    Only itemsets of min_support or more reach the driver, so their number doesn't grow with the rows. Without labelled rows there are no rules, and the default is allow."""
+    Tokens that are in the same rows are one item: those of equal counts that the rarer one's rows all have are found by
+    pair and stand for one another, so that URLs with many tokens in common don't give all their combinations. Only itemsets
+    of min_support or more, and of most_tokens tokens and a label, reach the driver, so their number doesn't grow with the
+    rows; rules of more tokens aren't looked for. Without labelled rows there are no rules, and the default is allow."""
     rows = labelled.where(F.col(label).isNotNull()).select(F.col(url).alias("url"), F.col(label).alias("label"))
-    rows = rows.select("label", tokens_column(F.col("url")).alias("tokens"))
-    items = rows.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), F.col("label")))).alias("items"))
+    rows = durable(rows.select("label", tokens_column(F.col("url")).alias("tokens")))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return [], "allow"
+        return [], "allow", {}
     n = sum(counts.values())
     default = min(counts, key=lambda k: (-counts[k], k))
+    same = representatives(rows, min_support * n)
+    kept = F.lit(sorted(set(same.values()))) if same else F.array().cast("array<string>")
+    items = rows.select(F.concat(F.array_intersect("tokens", kept), F.array(F.concat(F.lit(LABEL), F.col("label")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(items)
     sets = model.freqItemsets.where(F.size("items") <= most_tokens + 1).collect()
     freq = {tuple(sorted(r["items"])): r["freq"] for r in sets}
@@ -117,7 +143,7 @@ def mine(labelled: DataFrame, url: str = "url", label: str = "label", min_suppor
         old = rules.get(tokens)
         if old is None or confidence > old.confidence:
             rules[tokens] = MinedRule(tokens, verdict, confidence, freq[itemset] / n)
-    return sorted(rules.values(), key=lambda r: r.tokens), default
+    return sorted(rules.values(), key=lambda r: r.tokens), default, {k: v for k, v in same.items() if k != v}
 
 
 def inverted_index(rules: list[MinedRule]) -> dict[str, list[MinedRule]]:
@@ -133,23 +159,23 @@ def inverted_index(rules: list[MinedRule]) -> dict[str, list[MinedRule]]:
 
 
 def best_rule(tokens: list[str], index: dict[str, list[MinedRule]]) -> MinedRule | None:
-    """The surest matching rule; ties go to larger support, then more tokens, then alphabetical order."""
+    """The surest rule that tokens match; ties go to larger support, then more tokens, then alphabetical order."""
     have, best = set(tokens), None
-    for t in tokens:
+    for t in have:
         for r in index.get(t, ()):
             if have.issuperset(r.tokens) and (best is None or (-r.confidence, -r.support, -len(r.tokens), r.tokens) < (-best.confidence, -best.support, -len(best.tokens), best.tokens)):
                 best = r
     return best
 
 
-def mined_verdict(url: Column, rules: list[MinedRule], default: str) -> Column:
-    """Struct (mined_rule, verdict, confidence): that of the surest matching rule, else the default with null."""
+def mined_verdict(url: Column, rules: list[MinedRule], default: str, same: dict[str, str] = {}) -> Column:  # noqa: B006
+    """Struct (mined_rule, verdict, confidence): that of the surest matching rule, else the default with null. same: of mine_all()."""
 
     @F.arrow_udf("struct<mined_rule:string,verdict:string,confidence:double>")
     def judged(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = inverted_index(rules)
         for urls in column:
-            hits = [best_rule(url_tokens(u), index) for u in urls.to_pylist()]
+            hits = [best_rule([same.get(t, t) for t in url_tokens(u)], index) for u in urls.to_pylist()]
             yield pa.StructArray.from_arrays(
                 [pa.array([" ".join(r.tokens) if r else None for r in hits], pa.string()), pa.array([r.verdict if r else default for r in hits], pa.string()), pa.array([r.confidence if r else None for r in hits], pa.float64())],
                 ["mined_rule", "verdict", "confidence"],
@@ -166,9 +192,10 @@ def url_filters(pages: DataFrame, rules: list[ListRule], labelled: DataFrame | N
     mining; an empty table gives an empty one."""
     host, path = host_and_path(F.col(url))
     out = pages.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
-    out = out.withColumn("_list", list_rule(F.col("host"), F.col("path"), rules))
+    listed, guess = free_name(out, "list"), free_name(out, "mined")
+    out = out.withColumn(listed, list_rule(F.col("host"), F.col("path"), rules))
     if labelled is None:
-        labelled = out.select(F.col(url).alias("url"), F.col("_list.verdict").alias("label"))
-    mined, default = mine(labelled, "url", "label", **mining)
-    out = out.withColumn("_mined", mined_verdict(F.col(url), mined, default))
-    return out.withColumns({"rule": F.col("_list.rule"), "mined_rule": F.when(F.col("_list").isNull(), F.col("_mined.mined_rule")), "verdict": F.coalesce(F.col("_list.verdict"), F.col("_mined.verdict"))}).drop("_list", "_mined")
+        labelled = out.select(F.col(url).alias("url"), F.col(listed)["verdict"].alias("label"))
+    mined, default, same = mine_all(labelled, "url", "label", **mining)
+    out = out.withColumn(guess, mined_verdict(F.col(url), mined, default, same))
+    return out.withColumns({"rule": F.col(listed)["rule"], "mined_rule": F.when(F.col(listed).isNull(), F.col(guess)["mined_rule"]), "verdict": F.coalesce(F.col(listed)["verdict"], F.col(guess)["verdict"])}).drop(listed, guess)
