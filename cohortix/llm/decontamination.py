@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable, free_name
+
 WINDOW = 13
 #: Rows of the table of windows (and of that of their words) up to which it is broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 200_000
@@ -42,8 +44,6 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def hits(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, key, n_words, start, length, items): a row for each occurrence of a window, and one with null start for each document."""
-    from .common import durable
-
     windows = durable(item_windows(benchmark, size))
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("key"), words(F.col(text)).alias("words"))
@@ -94,6 +94,7 @@ def uncontaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDO
     A row is judged by its own text: of rows with equal ids only those that hold a window go, and rows with null id are
     judged like others. Null texts hold nothing and stay. Repeated rows get equal verdicts; either table may be empty."""
     found = hits(documents, benchmark, size, doc_id, text, broadcast_rows).where(F.col("start").isNotNull())
-    gone = found.select(F.col("doc_id").alias("_hit_id"), F.col("key").alias("_hit_key")).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(F.col(text)) == F.col("_hit_key"))
+    hit_id, hit_key = free_name(documents, "hit_id"), free_name(documents, "hit_key")
+    gone = found.select(F.col("doc_id").alias(hit_id), F.col("key").alias(hit_key)).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col(hit_id)) & (F.xxhash64(F.col(text)) == F.col(hit_key))
     return documents.join(gone, same, "left_anti")
