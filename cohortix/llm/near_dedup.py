@@ -127,23 +127,24 @@ def stars(members: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("head", F.col("_least").bitwiseXOR(F.col("_salt"))).drop("_salt", "_order", "_least")
 
 
-def components(links: DataFrame, rounds: int = 100) -> DataFrame:
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """(id, root) of every id with links (a, b) to the smallest id it reaches, but for the roots themselves.
 
     Alternates two steps until only stars are left: every node hands its larger neighbours to its smallest one, then all
-    its smaller ones. Smallest neighbours are aggregated, and no neighbourhood is gathered."""
+    its smaller ones. Smallest neighbours are aggregated, and no neighbourhood is gathered. Paths shrink by a factor each
+    round, so that rounds are never used up in practice; if they were, that would be an error and not a wrong result."""
     edges = compact(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(rounds):
         ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
         if ends.groupBy("id").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 or leaf + centre > 1").isEmpty():
-            break
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = spread_join(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = spread_join(large, least, ["a"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = compact(small.where("a <> b").distinct())
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    raise RuntimeError(f"components aren't complete after {rounds} rounds")
 
 
 def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
