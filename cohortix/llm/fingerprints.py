@@ -3,9 +3,10 @@
 A text's units (sentences and lines) are digested to 64 bits. A sketch has buckets of 4 rows of cells; a digest goes to
 one bucket, by its hash, and there to one cell of each row, where it is counted and XORed with the others, and so is its
 check value. Sketches of one size subtract cell by cell; what both hold vanishes, and peeling recovers the rest: a cell
-that holds one digest alone gives it away, and it is taken from its other cells. A bucket in which peeling stops short is
-sketched anew with four and then eight times the cells; after that its digests themselves are compared.
-The fingerprint is the sketch of one bucket.
+that holds one digest alone gives it away, and it is taken from its other cells. The fingerprint is the sketch of one
+bucket. Two texts are compared by their fingerprints first; where peeling these stops short, by larger sketches, of as
+many buckets as the texts need, and a bucket in which peeling still stops short is sketched anew with four and then eight
+times the cells; after that its digests themselves are compared.
 """
 
 from __future__ import annotations
@@ -76,8 +77,9 @@ def minus(a: Column, b: Column) -> Column:
 
 
 def peel(difference: Column, width: int, rounds: int = ROUNDS) -> Column:
-    """Struct (more, less): how many digests of either side come out of a bucket's cells; null if some stay in."""
-    start = F.struct(difference.alias("cells"), F.lit(0).alias("more"), F.lit(0).alias("less"))
+    """Struct (more, less): the digests of either side that come out of a bucket's cells; null if some stay in."""
+    none = F.array().cast("array<bigint>")
+    start = F.struct(difference.alias("cells"), none.alias("more"), none.alias("less"))
 
     def turn(state: Column, _: Column) -> Column:
         alone = F.filter(state.cells, lambda x: (F.abs(x.c) == 1) & (x.h == F.xxhash64(x.k, F.lit(CHECK))))
@@ -86,8 +88,8 @@ def peel(difference: Column, width: int, rounds: int = ROUNDS) -> Column:
         def taken(p: Column) -> Column:
             less = lambda a, x: F.struct((a.c - x.c).alias("c"), a.k.bitwiseXOR(x.k).alias("k"), a.h.bitwiseXOR(x.h).alias("h"))
             row = lambda s: F.transform(F.slice(state.cells, s * width + 1, width), lambda cell, j: F.aggregate(F.filter(p, lambda x: cell_of(x, s, width) == j), cell, less))
-            more = F.size(F.filter(p, lambda x: x.c == 1))
-            return F.struct(F.concat(*[row(s) for s in range(ROWS)]).alias("cells"), (state.more + more).alias("more"), (state.less + F.size(p) - more).alias("less"))
+            side = lambda c: F.transform(F.filter(p, lambda x: x.c == c), lambda x: x.k)
+            return F.struct(F.concat(*[row(s) for s in range(ROWS)]).alias("cells"), F.concat(state.more, side(1)).alias("more"), F.concat(state.less, side(-1)).alias("less"))
 
         return F.when(F.exists(state.cells, lambda x: x.c != 0), let(pure, taken)).otherwise(state)
 
@@ -102,33 +104,48 @@ def sketched(items: Column, log: Column) -> Column:
     return F.transform(buckets(items, size(log - low), size(low)), lambda x: F.struct(x.alias("items"), cells(x, WIDTHS[0]).alias("cells")))
 
 
-def likeness(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
-    """Jaccard similarity of two texts' units from the peeled difference of their sketches, of one size; 1 if both are empty."""
+def folded(sketch: Column) -> Column:
+    """The cells of one bucket for all of a text's items, from its buckets: an item has the same cells in any bucket."""
+    zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
+    add = lambda a, x: F.struct((a.c + x.c).alias("c"), a.k.bitwiseXOR(x.k).alias("k"), a.h.bitwiseXOR(x.h).alias("h"))
+    return F.transform(F.sequence(F.lit(0), F.lit(ROWS * WIDTHS[0] - 1)), lambda j: F.aggregate(sketch, zero, lambda a, x: add(a, F.get(x.cells, j))))
+
+
+def differing(a: Column, b: Column, fold_a: Column, fold_b: Column) -> Column:
+    """Struct (more, less): the digests that only a, or only b, has. a, b: sketches of as many buckets; folds: their fingerprints' cells."""
     keys = lambda x: F.transform(x, lambda i: i.k)
 
     def exact(x: Column, y: Column) -> Column:
-        return F.struct(F.size(F.array_except(keys(x), keys(y))).alias("more"), F.size(F.array_except(keys(y), keys(x))).alias("less"))
+        return F.struct(F.array_except(keys(x), keys(y)).alias("more"), F.array_except(keys(y), keys(x)).alias("less"))
 
     def compared(x: Column, y: Column) -> Column:
         larger = [peel(minus(cells(x["items"], w), cells(y["items"], w)), w) for w in WIDTHS[1:]]
         return F.coalesce(peel(minus(x.cells, y.cells), WIDTHS[0]), *larger, exact(x["items"], y["items"]))
 
-    more = F.aggregate(F.zip_with(a, b, compared), F.lit(0), lambda n, x: n + x.more)
-    return let(more, lambda m: F.when(n_b + m == 0, F.lit(1.0)).otherwise((n_a - m).cast("double") / F.greatest(n_b + m, F.lit(1))))
+    whole = lambda found: F.struct(F.flatten(F.transform(found, lambda x: x.more)).alias("more"), F.flatten(F.transform(found, lambda x: x.less)).alias("less"))
+    return F.coalesce(peel(minus(fold_a, fold_b), WIDTHS[0]), let(F.zip_with(a, b, compared), whole))
+
 
+def likeness(found: Column, n_a: Column, n_b: Column) -> Column:
+    """Jaccard similarity of two texts' units, n_a and n_b of them, from what differing() has; 1 if both are empty."""
+    more = F.size(found["more"])
+    return F.when(n_b + more == 0, F.lit(1.0)).otherwise((n_a - more).cast("double") / F.greatest(n_b + more, F.lit(1)))
 
-def fingerprint(items: Column) -> Column:
+
+def fingerprint(fold: Column) -> Column:
     """Hexadecimal cells of the sketch of one bucket, 28 digits each: 4 of the count, 16 of the digests, 8 of the checks."""
     number = lambda x, n: F.lpad(F.hex(x), n, "0")
     low = lambda x, bits: x.cast("long").bitwiseAND(F.lit((1 << bits) - 1))
-    return F.array_join(F.transform(cells(items, WIDTHS[0]), lambda x: F.concat(number(low(x.c, 16), 4), number(x.k, 16), number(low(x.h, 32), 8))), "")
+    return F.array_join(F.transform(fold, lambda x: F.concat(number(low(x.c, 16), 4), number(x.k, 16), number(low(x.h, 32), 8))), "")
 
 
 def with_next(documents: DataFrame, columns: list[str], doc_id: str = "doc_id", tie: str = "_tie", part: int = PART, uneven: float = UNEVEN) -> DataFrame:
     """documents with next, a struct of columns of the document that follows by (doc_id, tie), after the last of the first; null where doc_id is.
 
     The order is cut into parts of equal width in doc_id, or, where ids crowd together so that a part would be uneven
-    times too large, into sampled ranges. Each part is sorted in one task; its last row's next is the first of the next part."""
+    times too large, into sampled ranges. Each part is sorted in one task; its last row's next is the first of the next
+    part. Parts are ordered in runs of part of them, side by side, and one row for each run meets in one task. First rows,
+    two numbers each, are broadcast up to 1,000,000 of them."""
     from .common import durable
 
     known = documents.where(F.col(doc_id).isNotNull())
@@ -146,9 +163,14 @@ def with_next(documents: DataFrame, columns: list[str], doc_id: str = "doc_id",
     # the first row of each part, which the last row of the part before needs
     heads = durable(known.groupBy("_part").agg(F.min(F.struct(doc_id, tie)).alias("head")))
     parts = heads.count()
-    after = heads.withColumn("_before", F.lag("_part").over(Window.orderBy("_part")))
+    # the part before each part: within runs of part numbers side by side, and of the run before for the first of a run
+    group = F.floor(F.col("_part") / F.lit(part)).cast("long")
+    runs = heads.groupBy(group.alias("_run")).agg(F.max("_part").alias("_top"))
+    runs = runs.withColumn("_top", F.lag("_top").over(Window.orderBy("_run")))
     last = heads.agg(F.max("_part")).first()[0]
-    after = after.select(F.coalesce("_before", F.lit(last)).alias("_part"), F.col(f"head.{doc_id}").alias(doc_id), F.col(f"head.{tie}").alias(tie))
+    inside = heads.withColumn("_run", group).withColumn("_before", F.lag("_part").over(Window.partitionBy("_run").orderBy("_part")))
+    after = inside.join(F.broadcast(runs), "_run")
+    after = after.select(F.coalesce("_before", "_top", F.lit(last)).alias("_part"), F.col(f"head.{doc_id}").alias(doc_id), F.col(f"head.{tie}").alias(tie))
     after = F.broadcast(after) if parts <= 1_000_000 else after
     heads = known.drop("_part").join(after, [doc_id, tie]).groupBy("_part").agg(F.first(F.struct(*columns)).alias("_head"))
     out = known.withColumn("next", F.lead(F.struct(*columns)).over(order)).join(heads, "_part", "left")
@@ -164,7 +186,9 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", part: int = PART, uneven: float = UNEVEN) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row for each document.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, removed, added), a row for each document.
+
+    removed and added: the digests of the units that the edited text lacks, and of those it has instead.
 
     Null texts count as empty. Rows with equal ids follow one another by a hash of their text; rows with null id have no
     next document, and their edited text ends with nothing in place of its second half. Of one document alone the next is
@@ -184,6 +208,18 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     )
     most = F.size("_own") + F.greatest(F.size("_new"), F.size("_next"))
     log = F.round(F.log2(F.greatest(F.lit(1.0), most / F.lit(float(LOAD))))).cast("int")
-    rows = rows.withColumn("_log", log).withColumns({f"_s{c}": sketched(F.col(c), F.col("_log")) for c in ("_own", "_new", "_next")})
-    near = lambda c: likeness(F.col("_s_own"), F.col(f"_s{c}"), F.size("_own"), F.size(c))
-    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("_own")).alias("fingerprint"), fingerprint(F.col("_new")).alias("edited_fingerprint"), near("_new").alias("near_edited"), near("_next").alias("near_next"))
+    kinds = ("_own", "_new", "_next")
+    rows = rows.withColumn("_log", log).withColumns({f"_s{c}": sketched(F.col(c), F.col("_log")) for c in kinds}).withColumns({f"_f{c}": folded(F.col(f"_s{c}")) for c in kinds})
+    found = lambda c: differing(F.col("_s_own"), F.col(f"_s{c}"), F.col("_f_own"), F.col(f"_f{c}"))
+    rows = rows.withColumns({"_edits": found("_new"), "_other": found("_next")})
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprint(F.col("_f_own")).alias("fingerprint"),
+        fingerprint(F.col("_f_new")).alias("edited_fingerprint"),
+        likeness(F.col("_edits"), F.size("_own"), F.size("_new")).alias("near_edited"),
+        likeness(F.col("_other"), F.size("_own"), F.size("_next")).alias("near_next"),
+        F.col("_edits.more").alias("removed"),
+        F.col("_edits.less").alias("added"),
+    )
