@@ -33,7 +33,7 @@ def odd(spark):
     long = "\n".join(" ".join(words(rng, 40)) + "." for _ in range(300))
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, long, "en", "s", 1), (3, long, "en", "s", 1), (4, "one two three four five six", "fr", "s", 1), (None, "one two three four five six", "fr", "s", 1), (5, "!!! 123", None, "s", 1), (5, "other text here", "en", "s", 1)]
     df = spark.createDataFrame(rows, DOCS)
-    for c in ("score", "n_tokens", "first", "h1", "id", "hash", "part", "next", "key", "kept"):
+    for c in ("score", "n_tokens", "first", "h1", "id", "hash", "part", "next", "key", "kept", "_cut", "_id", "_key", "_language", "_list", "_mined", "_hit_id", "_row"):
         df = df.withColumn(c, F.lit("clash"))
     return df
 
@@ -433,6 +433,31 @@ def test_hosts_and_rules(spark):
     assert url_filters.url_filters(df.limit(0), URL_RULES).count() == 0
 
 
+def test_no_rule_is_missing(spark):
+    """All combinations of up to two tokens, counted one by one: each that would make a rule is one, or a smaller one is as sure."""
+    rng = random.Random(11)
+    rows = [(f"http://{h}.example.com/{p}/{rng.randrange(3)}", "block" if (h == "spam") != (p == "read") or rng.random() < 0.1 else "allow") for h, p in ((rng.choice(["spam", "good"]), rng.choice(["win", "read", "play"])) for _ in range(300))]
+    rules, default, same = url_filters.mine_all(spark.createDataFrame(rows, "url string, label string"), min_support=0.02, min_confidence=0.7, most_tokens=2)
+    cut = [(frozenset(url_filters.url_tokens(u)), lab) for u, lab in rows]
+    tokens = sorted(set().union(*(t for t, _ in cut)))
+    assert same and all([t for t, _ in cut if k in t] == [t for t, _ in cut if v in t] for k, v in same.items())
+    share = {v: sum(lab == v for _, lab in cut) / len(cut) for v in ("block", "allow")}
+    found = {r.tokens: r for r in rules}
+    for i, a in enumerate(tokens):
+        for b in tokens[i:]:
+            key = tuple(sorted({a, b}))
+            labels = [lab for t, lab in cut if t.issuperset(key)]
+            for v in ("block", "allow"):
+                if labels.count(v) < 0.02 * len(cut) or labels.count(v) / len(labels) < max(0.7, share[v] + 1e-9):
+                    continue
+                named = {tuple(sorted({same.get(t, t) for t in part})) for part in (key, *((t,) for t in key))}
+                assert any(k in found and found[k].verdict == v and found[k].confidence >= labels.count(v) / len(labels) - 1e-9 for k in named), key
+    verdicts = {tuple(r) for r in url_filters.url_filters(spark.createDataFrame(rows, "url string, label string"), [], labelled=spark.createDataFrame(rows, "url string, label string"), min_support=0.02, min_confidence=0.7).select("url", "verdict").collect()}
+    plain, index = url_filters.mine(spark.createDataFrame(rows, "url string, label string"), min_support=0.02, min_confidence=0.7), None
+    index = url_filters.inverted_index(plain[0])
+    assert all(((best := url_filters.best_rule([same.get(t, t) for t in url_filters.url_tokens(u)], index)) and best.verdict or default) == v for u, v in verdicts)
+
+
 def test_mined_rules_are_brute_force(spark):
     rng = random.Random(10)
     rows = []
@@ -547,6 +572,62 @@ def test_fingerprints_are_brute_force(spark, part, uneven):
     assert out[5000]["fingerprint"] == out[5001]["fingerprint"] and out[5000]["near_next"] == 1.0
 
 
+def peeled(a, b):
+    """The digests that only one of two fingerprints has, from their hexadecimal cells alone; None if they can't all be had."""
+    cut = lambda t: [(int(t[i : i + 4], 16), int(t[i + 4 : i + 20], 16), int(t[i + 20 : i + 28], 16)) for i in range(0, len(t), 28)]
+    cells = [[(x[0] - y[0] + 2**15) % 2**16 - 2**15, x[1] ^ y[1], x[2] ^ y[2]] for x, y in zip(cut(a), cut(b))]
+    where = lambda k: [4 * s + (PLACE[k] >> 2 * s & 3) for s in range(4)]
+    found = [set(), set()]
+    while any(c[0] or c[1] for c in cells):
+        pure = [c for c in cells if abs(c[0]) == 1 and c[1] in PLACE and CHECK[c[1]] == c[2]]
+        if not pure:
+            return None
+        n, k, h = pure[0]
+        found[n < 0].add(k)
+        for j in where(k):
+            cells[j] = [cells[j][0] - n, cells[j][1] ^ k, cells[j][2] ^ h]
+    return found
+
+
+PLACE, CHECK = {}, {}
+
+
+def test_likeness_comes_from_the_two_columns(spark):
+    """Where the two fingerprints can be peeled, near_edited and the digests returned are what they give; equal fingerprints give 1."""
+    rng = random.Random(24)
+    line = lambda: " ".join(words(rng, 5, 10**6)) + "."
+    rows = []
+    for i in range(40):
+        text = [line() for _ in range(rng.randrange(1, 5 if i % 2 else 40))]
+        rows += [(2 * i, "\n".join(text)), (2 * i + 1, "\n".join([*text[:-1], text[-1] if i % 3 else line()]))]
+    df = frame(spark, rows)
+    out = {r["doc_id"]: r for r in fingerprints.fingerprints(df).collect()}
+    every = spark.createDataFrame([(x,) for x in {u for i, t in rows for u in units(t) | units(expected_edit(rows, i))}], "u string").select(F.xxhash64("u").alias("k"))
+    for r in every.select("k", F.xxhash64("k", F.lit("place")).alias("r"), F.xxhash64("k", F.lit("check")).alias("h")).collect():
+        PLACE[r["k"] % 2**64], CHECK[r["k"] % 2**64] = r["r"] % 2**64, r["h"] % 2**32
+    done = 0
+    for i, t in rows:
+        r = out[i]
+        n, m = len(units(t)), len(units(expected_edit(rows, i)))
+        assert (len(r["removed"]), len(r["added"])) == (len(units(t) - units(expected_edit(rows, i))), len(units(expected_edit(rows, i)) - units(t)))
+        if (found := peeled(r["fingerprint"], r["edited_fingerprint"])) is not None:
+            done += 1
+            assert found == [{k % 2**64 for k in r["removed"]}, {k % 2**64 for k in r["added"]}]
+            assert r["near_edited"] == pytest.approx((n - len(found[0])) / (m + len(found[0])))
+        following = out.get(i + 1)
+        if following and (found := peeled(r["fingerprint"], following["fingerprint"])) is not None:
+            assert r["near_next"] == pytest.approx((n - len(found[0])) / (len(units(dict(rows)[i + 1])) + len(found[0])))
+    assert done > 20
+
+
+def expected_edit(rows, i):
+    ids = sorted(k for k, _ in rows)
+    texts = dict(rows)
+    t, n = texts[i], texts[ids[(ids.index(i) + 1) % len(ids)]]
+    h = len(t) // 2
+    return t[: len(t) - h] + n[:h]
+
+
 def test_fingerprints_of_odd_rows(spark):
     out = fingerprints.fingerprints(odd(spark)).collect()
     assert len(out) == 8 and all(0 <= r["near_edited"] <= 1 for r in out)
