@@ -13,6 +13,8 @@ LEFT_KEYS = ["lh.", "hemi-L_", "left", "hemi-L", "lh_", "lh-", "lh", "L_", "L",
 RIGHT_KEYS = ["rh.", "hemi-R_", "right", "hemi-R", "rh_", "rh-", "rh", "R_", "R", "r"]
 # Units of human-readable sizes, each 1024 times the one before.
 UNITS = ["B", "K", "M", "G", "T"]
+#: Labels of one reference at most.
+MOST_LABELS = 100_000
 
 
 def clean_key(name: Column) -> Column:
@@ -145,6 +147,21 @@ def resolve_with_mapping(names: DataFrame, labels: DataFrame, mapping: list[tupl
     return out.select("name", F.coalesce("_m_label", "name_label", "_b_label").alias("label"))
 
 
+def shortest_match(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, name): for each key the shortest name that contains it, the first in the alphabet of equals; null if none does."""
+    hits = names.select("name").distinct().join(keys.select("key").distinct(), F.col("name").contains(F.col("key")))
+    best = hits.groupBy("key").agg(F.min(F.struct(F.char_length("name").alias("n"), "name")).alias("b"))
+    return keys.select("key").distinct().join(best.select("key", "b.name"), "key", "left")
+
+
+def most_similar(names: DataFrame, labels: DataFrame) -> DataFrame:
+    """(name, label, ratio): the label of largest similarity() to each name, the first in the alphabet of equals. labels are a reference's, few."""
+    both = names.select("name").distinct().crossJoin(F.broadcast(labels.select("label").distinct().limit(MOST_LABELS)))
+    rated = both.withColumn("ratio", similarity(F.col("name"), F.col("label")))
+    best = rated.groupBy("name").agg(F.max_by("label", F.struct("ratio", F.transform(F.split("label", ""), lambda c: -F.ascii(c)))).alias("label"), F.max("ratio").alias("ratio"))
+    return best
+
+
 def check_one_to_one(resolved: DataFrame) -> None:
     """Each label may be resolved from one name only."""
     twice = resolved.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()

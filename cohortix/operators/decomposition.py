@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortix.operators import roi
+
 #: Entries of the stacked reductions that one task decomposes at most.
 MOST_ENTRIES = 100_000_000
 
@@ -157,3 +159,16 @@ def explained_variance(long: DataFrame, components: DataFrame) -> DataFrame:
     load = both.groupBy("subject", "component").agg((F.sum(F.col("v") * F.col("w")) / F.nullif(F.sum(F.col("w") * F.col("w")), F.lit(0.0))).alias("b"))
     rest = both.join(load, ["subject", "component"]).withColumn("e", F.col("v") - F.coalesce("b", F.lit(0.0)) * F.col("w"))
     return rest.groupBy("component").agg(F.greatest(F.lit(0.0), 1 - F.var_pop("e") / F.nullif(F.var_pop("v"), F.lit(0.0))).alias("ev"))
+
+
+def loadings(long: DataFrame, components: DataFrame) -> DataFrame:
+    """(subject, component, b): each subject's least-squares loadings on all components (component, feat, w) together."""
+    maps = components.select("feat", F.col("component").alias("map"), "w")
+    return roi.maps_least_squares(long, maps).select("subject", F.col("map").alias("component"), F.col("value").alias("b"))
+
+
+def joint_explained_variance(long: DataFrame, components: DataFrame) -> DataFrame:
+    """(ev): the share of all values' variance that goes when all components are fitted together, 0 at least."""
+    fitted = loadings(long, components).join(components, "component").groupBy("subject", "feat").agg(F.sum(F.col("b") * F.col("w")).alias("_f"))
+    rest = long.join(fitted, ["subject", "feat"]).withColumn("e", F.col("v") - F.col("_f"))
+    return rest.agg(F.greatest(F.lit(0.0), 1 - F.var_pop("e") / F.nullif(F.var_pop("v"), F.lit(0.0))).alias("ev"))

@@ -163,6 +163,51 @@ def graph_measures(edges: DataFrame, nodes: DataFrame, names: list, seed: int =
     return nodes.groupBy("graph").cogroup(edges.groupBy("graph")).applyInPandas(lambda key, n, e: measured(key, e, n), "graph long, name string, value double")
 
 
+#: Measures that are plans over all edges, beside those of graphs that fit one task.
+PLANS = ("avg_degree", "avg_triangles", "transitivity", "assortativity")
+
+
+def network_estimate(cells: DataFrame, measures: list[str], cut: float = 0.2, by: str = "density", kind: str = "abs", step: float = 0.01, relax: bool = True, seed: int = 0) -> DataFrame:
+    """(name, value) of the measures of the network that a symmetric matrix (i, j, w), diagonal and all, has above a threshold.
+
+    by: `density`, a share of all cells, or `value`. Where no edge passes, the threshold is relaxed by step until one does,
+    unless relax is False, which makes that an error. Unknown names, kinds and shares are errors before anything runs."""
+    unknown = [m for m in measures if m not in PLANS and m not in graphs.MEASURES]
+    if unknown or not measures:
+        raise ValueError(f"unknown measures {unknown}" if unknown else "no measures")
+    if by not in ("density", "value") or kind not in ("abs", "pos", "neg") or step <= 0 or by == "density" and not 0 < cut <= 1:
+        raise ValueError("by is density (a share in 0..1) or value, kind abs, pos or neg, and step is above 0")
+    cells = durable(cells)
+    nodes = cells.select(F.col("i").alias("node")).distinct()
+    found = threshold_density(cells, cut, kind) if by == "density" else threshold_value(cells, cut, kind)
+    edges = durable(found.where("i < j"))
+    if edges.isEmpty():
+        if not relax:
+            raise ValueError("no edge passes the threshold")
+        strong = cells.where("i < j")
+        first = cut if by == "value" else kth_largest(strong, {"abs": F.abs("w"), "pos": F.col("w"), "neg": -F.col("w")}[kind], 0) * (-1 if kind == "neg" else 1)
+        edges = durable(threshold_value(strong, threshold_relaxed(strong, first, step, kind).first()["threshold"], kind))
+    rows = []
+    shape = triangles(edges, nodes)
+    for m in dict.fromkeys(measures):
+        if m == "avg_degree":
+            rows.append(degrees(edges, nodes).agg(F.avg("degree").alias("value")))
+        elif m == "avg_triangles":
+            rows.append(shape.agg(F.avg("triangles").alias("value")))
+        elif m == "transitivity":
+            rows.append(transitivity(shape).select(F.col("transitivity").alias("value")))
+        elif m == "assortativity":
+            rows.append(assortativity(edges, nodes).select(F.col("assortativity").alias("value")))
+        else:
+            graph = F.lit(0).cast("long").alias("graph")
+            rows.append(graph_measures(edges.select(graph, "i", "j"), nodes.select(graph, "node"), [m], seed).select("value"))
+        rows[-1] = rows[-1].select(F.lit(m).alias("name"), "value")
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def shortest_paths(edges: DataFrame, nodes: DataFrame, every: int = 4) -> DataFrame:
     """(source, node, dist) of all reachable pairs of distinct nodes, breadth first, until nothing new is reached.
 

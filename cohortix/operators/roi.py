@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortix.shared import placed
+
 REDUCERS = {
     "mean": F.avg,
     "median": F.median,
@@ -31,10 +36,20 @@ def labelled(long: DataFrame, labels: DataFrame, background: list[int] = [0], ex
     return long.join(kept, "feat")
 
 
-def regions(long: DataFrame, labels: DataFrame, how: str | Column = "mean", background: list[int] = [0], exclude: DataFrame | None = None) -> DataFrame:  # noqa: B006
-    """(subject, label, value): each region reduced, by name or by an aggregate expression of v."""
+def regions(long: DataFrame, labels: DataFrame, how: str | Column | Callable = "mean", background: list[int] = [0], exclude: DataFrame | None = None) -> DataFrame:  # noqa: B006
+    """(subject, label, value): each region reduced, by name, by an aggregate expression of v, or by a function of a region's values as an array.
+
+    A function gets the values of one subject's region in the order of its features, null as NaN; these meet in one task."""
     if isinstance(how, str) and how not in REDUCERS:
         raise ValueError(f"unknown reducer {how!r}")
+    if callable(how) and not isinstance(how, Column):
+
+        @F.arrow_udf("double")
+        def reduced(values: pa.Array) -> pa.Array:
+            return pa.array([float(how(np.array(x, dtype=float))) for x in values.to_pylist()], pa.float64())
+
+        rows = labelled(long, labels, background, exclude).groupBy("subject", "label").agg(F.array_sort(F.collect_list(F.struct("feat", "v"))).alias("_v"))
+        return rows.select("subject", "label", reduced(F.transform("_v", lambda x: x.v)).alias("value"))
     value = REDUCERS[how](F.col("v")) if isinstance(how, str) else how
     return labelled(long, labels, background, exclude).groupBy("subject", "label").agg(value.alias("value"))
 
@@ -48,10 +63,8 @@ def to_features(values: DataFrame, labels: DataFrame) -> DataFrame:
 
 def index_map(labels: DataFrame, background: list[int] = [0]) -> DataFrame:  # noqa: B006
     """(label, roi): the place of each label among the sorted ones without background."""
-    from pyspark.sql import Window
-
     known = labels.where(~F.col("label").isin(background)).select("label").distinct()
-    return known.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("roi"))
+    return placed(known, "label").select("label", F.col("place").alias("roi"))
 
 
 def maps_average(long: DataFrame, maps: DataFrame) -> DataFrame:

@@ -33,6 +33,12 @@ def ordinal_encode(df: DataFrame, column: str, to: str) -> DataFrame:
     return df.join(codes, column, "left")
 
 
+def drop_missing(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, int]:
+    """(rows without a null or NaN in any of columns, or in any at all; how many rows that leaves out)."""
+    out = df.dropna("any", subset=columns)
+    return out, df.count() - out.count()
+
+
 def levels(df: DataFrame, column: str, most: int = 1000) -> list:
     """The sorted distinct values; more than most can't become columns."""
     out = sorted(r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect())

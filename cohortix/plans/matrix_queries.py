@@ -122,7 +122,13 @@ def na_sentinels(spark, d):
 @query("SELECT event_id, user_id, value FROM events WHERE event_id % 11 <> 0 AND user_id % 7 <> 0")
 def dropna_rows(spark, d):
     e = table(spark, d, "events").select("event_id", F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("user_id"), F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("value"))
-    return e.dropna("any")
+    return tabular.drop_missing(e)[0]
+
+
+@query("SELECT 'rows left out' AS what, count(*) FILTER (event_id % 11 = 0 OR user_id % 7 = 0) AS n FROM events")
+def dropna_count(spark, d):
+    e = table(spark, d, "events").select("event_id", F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("user_id"), F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("value"))
+    return spark.createDataFrame([("rows left out", tabular.drop_missing(e)[1])], "what string, n long")
 
 
 @query("SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS BIGINT) AS code FROM customer")
@@ -247,9 +253,16 @@ def roi_inverse(spark, d):
     return roi.to_features(roi.regions(cohort(spark, d), labels7(spark)), labels7(spark)).select("subject", "feat", r6("v").alias("v"))
 
 
-@query("SELECT CAST(range + 1 AS INT) AS label, CAST(range AS INT) AS roi FROM range(6)")
+@query("SELECT c_nationkey AS label, CAST(dense_rank() OVER (ORDER BY c_nationkey) - 1 AS INT) AS roi FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey NOT IN (0, 7))")
 def roi_index_map(spark, d):
-    return roi.index_map(labels7(spark)).select(F.col("label").cast("int").alias("label"), F.col("roi").cast("int").alias("roi"))
+    labels = table(spark, d, "customer").select(F.col("c_custkey").alias("feat"), F.col("c_nationkey").alias("label"))
+    return roi.index_map(labels, [0, 7]).select("label", F.col("roi").cast("int").alias("roi"))
+
+
+@query(_roi_sql("max(v) - min(v)"))
+def roi_function(spark, d):
+    """A reducer in Python, of a region's values as an array."""
+    return _roi(lambda x: x.max() - x.min())(spark, d)
 
 
 #: Soft maps: two overlapping ramps, in SQL and as a table.
@@ -312,8 +325,15 @@ def size_to_bytes(spark, d):
     return table(spark, d, "part").select("p_partkey", strings.size_to_bytes(text).alias("bytes"))
 
 
+#: The tokens of both sides, tried in order at the start, at the end and anywhere.
+TRIES = ", ".join(f"({3 * i + j}, '{left}', '{right}', '{kind}')" for i, (left, right) in enumerate(zip(strings.LEFT_KEYS, strings.RIGHT_KEYS)) for j, kind in enumerate(("start", "end", "in")))
+
+
 @query(
-    "SELECT CAST(18 AS INT) AS rank, 'lh' AS lh, 'rh' AS rh, 'start' AS kind"
+    f"WITH n AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'lh' ELSE 'rh' END || '#' || p_partkey AS name FROM part), t AS (SELECT * FROM (VALUES {TRIES}) t(rank, lh, rh, kind)), "
+    "h AS (SELECT rank, lh, rh, kind, count(*) AS n, count(*) FILTER (CASE kind WHEN 'start' THEN starts_with(name, lh) WHEN 'end' THEN ends_with(name, lh) ELSE contains(name, lh) END) AS l, "
+    "count(*) FILTER (CASE kind WHEN 'start' THEN starts_with(name, rh) WHEN 'end' THEN ends_with(name, rh) ELSE contains(name, rh) END) AS r FROM n, t GROUP BY rank, lh, rh, kind) "
+    "SELECT CAST(rank AS INT) AS rank, lh, rh, kind FROM h WHERE abs(l - floor(n / 2)) < 0.15 * n AND abs(r - floor(n / 2)) < 0.15 * n ORDER BY rank LIMIT 1"
 )
 def lr_keys(spark, d):
     side = F.when(F.col("p_partkey") % 2 == 0, "lh").otherwise("rh")
@@ -393,6 +413,19 @@ def name_filter(spark, d):
     return p.where(keep).groupBy(F.col("p_name").alias("a")).agg(F.count("*").alias("n"))
 
 
+@query("WITH k AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS key FROM part UNION SELECT 'no such name'), n AS (SELECT DISTINCT p_name AS name FROM part), h AS (SELECT key, name, row_number() OVER (PARTITION BY key ORDER BY length(name), name) AS r FROM k JOIN n ON contains(name, key)) SELECT k.key, h.name FROM k LEFT JOIN h ON k.key = h.key AND r = 1")
+def shortest_match(spark, d):
+    p = table(spark, d, "part")
+    keys = p.select(F.get(F.split("p_name", " "), 0).alias("key")).unionByName(spark.createDataFrame([("no such name",)], "key string"))
+    return strings.shortest_match(p.select(F.col("p_name").alias("name")), keys)
+
+
+@query()
+def most_similar(spark, d):
+    n = table(spark, d, "nation")
+    return strings.most_similar(table(spark, d, "part").select(F.col("p_name").alias("name")), n.select(F.lower("n_name").alias("label"))).withColumn("ratio", r6("ratio"))
+
+
 @query()
 def similarity_ratio(spark, d):
     p = table(spark, d, "part").select(F.col("p_name").alias("a")).distinct()

@@ -182,6 +182,27 @@ query(
 )(lambda spark, d: _graph_measure(["local_eff"])(spark, d).withColumn("value", r6("value")))
 
 
+query(
+    G.replace("WITH ", "WITH RECURSIVE ", 1) + ", pr(t, node, x) AS (SELECT 0, node, 1.0::DOUBLE / 64 FROM n UNION ALL (SELECT pr.t + 1, v.node, 0.15 / 64 + 0.85 * sum(CASE WHEN dg.degree = 0 THEN x / 64 WHEN g.j IS NOT NULL THEN x / dg.degree ELSE 0 END) "
+    "FROM pr JOIN dg ON dg.node = pr.node CROSS JOIN n v LEFT JOIN g ON g.i = pr.node AND g.j = v.node WHERE pr.t < 150 GROUP BY pr.t, v.node)) SELECT 'avg_pagerank_' || node AS name, round(x, 6) AS value FROM pr WHERE t = 150",
+    "pagerank_by_node",
+)(_node_measure("avg_pagerank"))
+
+
+def _estimate(spark, d):
+    return networks.network_estimate(networks.full_matrix(edges(spark, d)), ["avg_degree", "avg_cluster", "transitivity", "assortativity", "avg_triangles"], 0.2)
+
+
+#: The graph at a density of 0.2 of all cells, the measures of which the estimator gives.
+DENSE = T.replace("WHERE abs(w) >= 0.06", "WHERE abs(w) >= (SELECT abs(w) FROM m ORDER BY abs(w) DESC LIMIT 1 OFFSET 818)").replace(", k AS (", ", m AS (SELECT i, j, w FROM c UNION ALL SELECT j, i, w FROM c UNION ALL SELECT range::INT, range::INT, 1.0 FROM range(64)), k AS (", 1)
+
+query(
+    DENSE + " SELECT 'avg_degree' AS name, round(avg(degree), 6) AS value FROM dg UNION ALL SELECT 'avg_cluster', round(avg(clustering), 6) FROM ms UNION ALL SELECT 'avg_triangles', round(avg(triangles), 6) FROM ms "
+    "UNION ALL SELECT 'transitivity', round(2.0 * sum(triangles) / sum(degree * (degree - 1)), 6) FROM ms UNION ALL SELECT 'assortativity', round(corr(a.degree, b.degree), 6) + 0.0 FROM g JOIN dg a ON g.i = a.node JOIN dg b ON g.j = b.node",
+    "network_estimate",
+)(lambda spark, d: _estimate(spark, d).withColumn("value", r6("value")))
+
+
 # similarity of regions: values of subject by its label
 
 GV = f"WITH {E}, r AS (SELECT label AS grp, v FROM e)"

@@ -382,6 +382,38 @@ def explained_variance(spark, d):
     return decomposition.explained_variance(cohort(spark, d), components).select("component", r6("ev").alias("ev"))
 
 
+COMPONENTS = "cp AS (SELECT f.range::INT AS feat, sin(f.range)::DOUBLE AS p, sin(2 * f.range)::DOUBLE AS q FROM range(64) f)"
+JOINT = (
+    f"WITH {E}, {COMPONENTS}, g AS (SELECT sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq FROM cp), x AS (SELECT subject, sum(v * p) AS xp, sum(v * q) AS xq FROM e JOIN cp USING (feat) GROUP BY subject), "
+    "b AS (SELECT subject, (qq * xp - pq * xq) / (pp * qq - pq * pq) AS b0, (pp * xq - pq * xp) / (pp * qq - pq * pq) AS b1 FROM x, g) "
+)
+
+
+def _components(spark):
+    f = feats(spark)
+    return f.select(F.lit(0).alias("component"), "feat", F.sin(F.col("feat").cast("double")).alias("w")).unionByName(f.select(F.lit(1).alias("component"), "feat", F.sin(2.0 * F.col("feat")).alias("w")))
+
+
+@query(JOINT + "SELECT subject, 0::INT AS component, round(b0, 6) + 0.0 AS b FROM b UNION ALL SELECT subject, 1::INT, round(b1, 6) + 0.0 FROM b")
+def component_loadings(spark, d):
+    return decomposition.loadings(cohort(spark, d), _components(spark)).select("subject", F.col("component").cast("int").alias("component"), r6("b").alias("b"))
+
+
+@query(JOINT + "SELECT round(greatest(0, 1 - var_pop(v - b0 * p - b1 * q) / var_pop(v)), 6) AS ev FROM e JOIN cp USING (feat) JOIN b USING (subject)")
+def joint_explained_variance(spark, d):
+    return decomposition.joint_explained_variance(cohort(spark, d), _components(spark)).select(r6("ev").alias("ev"))
+
+
+@query(
+    f"WITH {E}, h AS (SELECT subject, avg(v) FILTER (feat % 2 = 0) AS a, avg(v) FILTER (feat % 2 = 1) AS b FROM e GROUP BY subject), m AS (SELECT var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(a, b) AS ab FROM h), "
+    "l AS (SELECT (aa + bb) / 2 AS c, sqrt(pow((aa - bb) / 2, 2) + ab * ab) AS r FROM m) SELECT 0::INT AS component, round(c + r, 8) AS value, round((c + r) / (2 * c), 6) AS ratio FROM l UNION ALL SELECT 1::INT, round(c - r, 8), round((c - r) / (2 * c), 6) FROM l"
+)
+def pca_two(spark, d):
+    """Eigenvalues of two features, the means of the even and of the odd places."""
+    long = cohort(spark, d).groupBy("subject", (F.col("feat") % 2).alias("feat")).agg(F.avg("v").alias("v"))
+    return decomposition.gram_eigen(long, 2).select("component", F.round("value", 8).alias("value"), r6("ratio").alias("ratio"))
+
+
 @query()
 def canica(spark, d):
     images = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("subject"), F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("data"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortix.llm.common import shared_dir, table
+from cohortix.llm.common import discard, shared_dir, table
 from cohortix.llm.decontamination import uncontaminated
 from cohortix.llm.language_id import fit, held_out, language_id
 from cohortix.llm.line_dedup import line_dedup
@@ -56,10 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, each stage's output written to and reread from the shared folder."""
+    """The rows of the last stage, each stage's output written to and reread from the shared folder, and deleted when the next is written; the last one stays."""
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            discard(spark, f"{folder}/{before}")
+        before = name
     return docs
