@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortix.operators import roi
+from cohortix.operators import networks, roi
 
 #: Entries of the stacked reductions that one task decomposes at most.
 MOST_ENTRIES = 100_000_000
@@ -33,24 +33,19 @@ def fast_svd(x: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarr
 def gram_eigen(long: DataFrame, k: int, centre: bool = True) -> DataFrame:
     """(component, value, ratio): the largest eigenvalues of the features' covariance, and their shares of all variance.
 
-    The Gram matrix is summed in the tasks; it has features x features entries and is decomposed on the driver."""
-    wide = long.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("feat", "v"))).alias("p")).select(F.transform("p", lambda p: p.v).alias("x"))
-
-    def summed(batches):
-        g = s = None
-        n = 0
-        for b in batches:
-            if len(b):
-                m = np.stack([np.asarray(x, dtype=float) for x in b["x"]])
-                g, s, n = (m.T @ m if g is None else g + m.T @ m), (m.sum(0) if s is None else s + m.sum(0)), n + len(m)
-        if n:
-            yield pd.DataFrame({"g": [g.ravel().tolist()], "s": [s.tolist()], "n": [n]})
-
-    parts = wide.mapInPandas(summed, "g array<double>, s array<double>, n long").collect()
-    n = sum(r["n"] for r in parts)
-    s = sum(np.array(r["s"]) for r in parts)
-    g = sum(np.array(r["g"]) for r in parts).reshape(len(s), len(s))
-    c = (g - np.outer(s, s) / n) / (n - 1) if centre else g / n
+    The features' products are summed by pair, MOST_ENTRIES pairs at most, and decomposed on the driver. All features need
+    a value of every subject."""
+    features = long.select("feat").distinct().limit(int((2 * MOST_ENTRIES) ** 0.5) + 1).count()
+    if features * (features + 1) // 2 > MOST_ENTRIES:
+        raise ValueError("too many features for one task")
+    rows = networks.pair_sums(long, diagonal=True).toPandas()
+    feats, n = np.unique(rows["i"]), rows["n"].max() if len(rows) else 0
+    if len(rows) != len(feats) * (len(feats) + 1) // 2 or (rows["n"] != n).any():
+        raise ValueError("values are missing")
+    i, j = np.searchsorted(feats, rows["i"]), np.searchsorted(feats, rows["j"])
+    c = np.zeros((len(feats), len(feats)))
+    xy, x, y = (rows[k].to_numpy() for k in ("xy", "x", "y"))
+    c[i, j] = c[j, i] = (xy - x * y / n) / (n - 1) if centre else xy / n
     w = np.linalg.eigvalsh(c)[::-1]
     rows = [(i, float(x), float(x / w.sum())) for i, x in enumerate(w[:k])]
     return long.sparkSession.createDataFrame(rows, "component int, value double, ratio double")

@@ -96,11 +96,15 @@ def barycentric(point: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndar
     return best, out
 
 
+#: Rings of cells that a point looks at before it looks at all triangles, and edges of one mesh at most.
+RINGS, MOST_EDGES = 12, 20_000_000
+
+
 def nearest_triangle_weights(points: DataFrame, vertices: DataFrame, triangles: DataFrame, most: int = 2_000_000) -> DataFrame:
     """(new, old, w): barycentric weights of each point (new, x, y, z) in its nearest triangle, weights of 0 left out.
 
-    The mesh, of bounded size, goes to every task; points are independent. Triangles whose centre is farther than the
-    nearest corner found plus their radius can't be nearest and aren't looked at."""
+    The mesh, of bounded size, goes to every task; points are independent. A point looks at the triangles of the cells of
+    a grid around it, ring after ring, until no triangle beyond can be nearer; points far from the mesh look at all."""
     v, t = vertices.limit(most + 1).collect(), triangles.limit(most + 1).collect()
     if max(len(v), len(t)) > most:
         raise ValueError(f"a mesh of more than {most} parts")
@@ -111,12 +115,30 @@ def nearest_triangle_weights(points: DataFrame, vertices: DataFrame, triangles:
     centre = tri.mean(axis=1)
     radius = np.linalg.norm(tri - centre[:, None], axis=2).max(axis=1)
 
+    low, side = centre.min(axis=0), max(2 * float(np.median(radius)), float(np.ptp(centre, axis=0).max()) / 256, 1e-12)
+    cells: dict[tuple, list[int]] = {}
+    for k, c in enumerate(np.floor((centre - low) / side).astype(np.int64).tolist()):
+        cells.setdefault(tuple(c), []).append(k)
+    widest = float(radius.max())
+
+    def around(p: np.ndarray) -> np.ndarray:
+        """Triangles that may be the nearest to p, in order."""
+        at = np.floor((p - low) / side).astype(np.int64).tolist()
+        seen: list[int] = []
+        for ring in range(RINGS):
+            span = range(-ring, ring + 1)
+            seen += [k for i in span for j in span for m in (span if max(abs(i), abs(j)) == ring else {-ring, ring}) for k in cells.get((at[0] + i, at[1] + j, at[2] + m), ())]
+            if seen and ring * side - widest > (np.linalg.norm(centre[seen] - p, axis=1) + radius[seen]).min():
+                return np.array(sorted(seen))
+        return np.arange(len(centre))
+
     def found(batches):
         for b in batches:
             rows = []
             for new, p in zip(b["new"], b[["x", "y", "z"]].to_numpy(dtype=float)):
-                far = np.linalg.norm(centre - p, axis=1)
-                near = np.flatnonzero(far - radius <= (far + radius).min())
+                some = around(p)
+                far = np.linalg.norm(centre[some] - p, axis=1)
+                near = some[far - radius[some] <= (far + radius[some]).min()]
                 d, w = barycentric(p, tri[near])
                 k = int(np.argmin(d))
                 rows += [(new, int(i), float(x)) for i, x in zip(ids[near[k]], w[k]) if x > 0]
@@ -159,7 +181,10 @@ def grow_parcels(adjacency: dict[int, list[int]], n_parcels: int, walls: set[int
 def random_parcellations(adjacency: DataFrame, walls: list[int], n_parcels: int, seeds: DataFrame) -> DataFrame:
     """(seed, vertex, label) of one parcellation for each seed; a parcellation grows in one task, seeds in parallel. adjacency: (v, nbr)."""
     rows: dict[int, list[int]] = {}
-    for r in adjacency.collect():  # one mesh
+    edges = adjacency.limit(MOST_EDGES + 1).collect()  # one mesh
+    if len(edges) > MOST_EDGES:
+        raise ValueError(f"a mesh of more than {MOST_EDGES} edges")
+    for r in edges:
         rows.setdefault(r["v"], []).append(r["nbr"])
     if bad := set(walls) - set(rows):
         raise IndexError(f"walls that are no vertices: {sorted(bad)[:5]}")

@@ -19,12 +19,11 @@ def feature_pairs(long: DataFrame) -> DataFrame:
     return feats.join(feats.select(F.col("i").alias("j")), F.col("i") < F.col("j"))
 
 
-def correlation_edges(long: DataFrame, block: int = 512) -> DataFrame:
-    """(i, j, w), i < j: correlations of all pairs of features, over the subjects that have a value of both.
+def pair_sums(long: DataFrame, block: int = 512, diagonal: bool = False) -> DataFrame:
+    """(i, j, n, xy, x, y, xx, yy), i < j (or i <= j): sums over the subjects that have a value of both features.
 
-    Null and missing values don't count; pairs without two subjects in common, or of a constant, have null. Each subject's
-    row meets the matrix once: a task holds its subjects, sums the products of one pair of feature blocks after the other,
-    and puts out sums by pair, so subjects x pairs are never shuffled and no task holds all pairs."""
+    Each subject's row meets the matrix once: a task holds its subjects, sums the products of one pair of feature blocks
+    after the other, and puts out sums by pair, so subjects x pairs are never shuffled and no task holds all pairs."""
     wide = long.where("v is not null").groupBy("subject").agg(F.collect_list(F.struct("feat", "v")).alias("_p"))
     wide = wide.select(F.transform("_p", lambda p: p.feat).alias("f"), F.transform("_p", lambda p: p.v).alias("x"))
 
@@ -42,12 +41,20 @@ def correlation_edges(long: DataFrame, block: int = 512) -> DataFrame:
             for c in range(a, len(feats), block):
                 q, y = m[:, c : c + block], has[:, c : c + block]
                 n = x.T @ y
-                i, j = np.nonzero((feats[a : a + block][:, None] < feats[c : c + block][None, :]) & (n > 0))
+                left, right = feats[a : a + block][:, None], feats[c : c + block][None, :]
+                i, j = np.nonzero(((left <= right) if diagonal else (left < right)) & (n > 0))
                 sums = {"n": n, "xy": p.T @ q, "x": p.T @ y, "y": x.T @ q, "xx": (p * p).T @ y, "yy": x.T @ (q * q)}
                 yield pd.DataFrame({"i": feats[a + i], "j": feats[c + j], **{k: v[i, j] for k, v in sums.items()}})
 
     parts = wide.mapInPandas(gram, "i int, j int, n double, xy double, x double, y double, xx double, yy double")
-    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "xy", "x", "y", "xx", "yy")])
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "xy", "x", "y", "xx", "yy")])
+
+
+def correlation_edges(long: DataFrame, block: int = 512) -> DataFrame:
+    """(i, j, w), i < j: correlations of all pairs of features, over the subjects that have a value of both.
+
+    Null and missing values don't count; pairs without two subjects in common, or of a constant, have null."""
+    sums = pair_sums(long, block)
     cov = F.col("n") * F.col("xy") - F.col("x") * F.col("y")
     size = F.sqrt((F.col("n") * F.col("xx") - F.col("x") ** 2) * (F.col("n") * F.col("yy") - F.col("y") ** 2))
     return sums.select("i", "j", F.try_divide(cov, size).alias("w"))

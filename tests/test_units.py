@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortix import shared
 from cohortix.functions import graphs, special, strings
 from cohortix.operators import blocks, decomposition, geometry, matrix, mixed, networks, permutation, reliability, roi, stats, tabular
 from cohortix.sources import arrays, sinks
@@ -377,3 +378,74 @@ def test_connecting_threshold(spark):
     assert networks.connecting_threshold(e, 0.6).first()["steps"] == 29
     assert networks.connecting_threshold(e, 0.6, 0.75).first()["steps"] == 10
     assert networks.connecting_threshold(e, 0.6, 0.5).first()["steps"] == 0
+
+
+# global orders, missing data, nearest triangles
+
+
+def test_places_and_kth_largest(spark):
+    rng = np.random.default_rng(31)
+    v = rng.integers(0, 400, 1000)
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(v)], "id long, v long").repartition(5)
+    out = {r["id"]: r["place"] for r in shared.placed(df, "v", "id").collect()}
+    assert out == {int(i): k for k, i in enumerate(np.lexsort((np.arange(1000), v)))}
+    ranked = sorted(v.tolist(), reverse=True)
+    for k in (0, 1, 499, 999):
+        assert shared.kth_largest(df, F.col("v"), k, bins=7, few=10) == ranked[k]
+    assert shared.kth_largest(df, F.col("v"), 1000) is None
+
+
+def test_eviction_keeps_the_newest(spark):
+    rows = [(f"t{i}", 10 * (i % 7 + 1), i * 37 % 50) for i in range(50)]
+    out = {r["name"] for r in sinks.evicted(spark.createDataFrame(rows, "name string, size long, time long"), 300).collect()}
+    total, want = 0, set()
+    for name, size, _ in sorted(rows, key=lambda r: (r[2], r[0]), reverse=True):
+        total += size
+        want |= {name} if total > 300 else set()
+    assert out == want
+
+
+def test_whole_blocks_move_as_the_plan_says(spark):
+    subjects = spark.createDataFrame([(i, i // 3 if i < 12 else 10 + i // 4, float(i % 5)) for i in range(28)], "subject long, b long, x double")
+    d = permutation.design(subjects, "x", [], None, "b", exchange="whole")
+    moves = blocks.permute_whole(subjects.select("subject", "b"), blocks.permutations(3, spark), "b", 6)
+    for r in moves.collect():
+        assert d.subjects[d.order(r["perm"], 6)[r["dst"]]] == r["src"]
+    groups = {r["subject"]: r["vg"] for r in blocks.variance_groups_whole(subjects, "b").collect()}
+    codes = dict(zip(d.subjects.tolist(), d.group.tolist()))
+    assert len(set(zip(groups.values(), (codes[s] for s in groups)))) == len(set(codes.values())) == len(set(groups.values()))
+
+
+def test_missing_targets_are_refused(spark):
+    long = spark.createDataFrame([(s, f, float(s * f)) for s in range(12) for f in range(3) if (s, f) != (4, 1)], "subject long, feat int, v double")
+    subjects = spark.createDataFrame([(s, float(s % 4), 0) for s in range(12)], "subject long, x double, b long")
+    assert [tuple(r) for r in permutation.missing_values(long, subjects).collect()] == [(1, 1)]
+    with pytest.raises(Exception, match="missing values"):
+        permutation.permuted_v(long, subjects, "x", [], None, "b", 2).collect()
+
+
+def test_two_tested_variables_share_the_model():
+    """v of the first of two tested variables, one variance group, is its t with the second as a confound."""
+    rng = np.random.default_rng(32)
+    x, y = rng.standard_normal((40, 2)), rng.standard_normal((40, 3))
+    ones = np.ones((40, 1)) / np.sqrt(40)
+    centred = x - x.mean(axis=0)
+    both = permutation.thin_basis(centred)
+    d = permutation.Design(np.arange(40), centred, ones, np.zeros(40, dtype=int), np.zeros(40, dtype=int), 1 - (ones**2).sum(1) - (both**2).sum(1))
+    full = np.column_stack([np.ones(40), x])
+    beta, rss = np.linalg.lstsq(full, y, rcond=None)[:2]
+    t = beta[1] / np.sqrt(rss / 37 * np.linalg.inv(full.T @ full)[1, 1])
+    assert permutation.v_scores(y, d)[0] == pytest.approx(t) and permutation.t_scores(y, d)[0] == pytest.approx(t)
+
+
+def test_nearest_triangles_are_the_nearest(spark):
+    rng = np.random.default_rng(33)
+    xyz = rng.random((60, 3)) * [10, 10, 2]
+    corners = [tuple(rng.choice(60, 3, replace=False).tolist()) for _ in range(80)]
+    points = np.concatenate((rng.random((25, 3)) * [12, 12, 4] - 1, [[500.0, 0.0, 0.0]]))
+    frames = [spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], f"{name} long, x double, y double, z double") for rows, name in ((points, "new"), (xyz, "vertex"))]
+    out = geometry.nearest_triangle_weights(frames[0], frames[1], spark.createDataFrame([(i, *c) for i, c in enumerate(corners)], "tri long, a long, b long, c long")).collect()
+    tri = xyz[np.array(corners)]
+    for i, p in enumerate(points):
+        at = sum(r["w"] * xyz[r["old"]] for r in out if r["new"] == i)
+        assert np.linalg.norm(at - p) == pytest.approx(geometry.barycentric(p, tri)[0].min(), abs=1e-9)
