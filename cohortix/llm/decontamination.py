@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, free_name
+from .common import durable, free_name, spread_join
 
 WINDOW = 13
-#: Rows of the table of windows (and of that of their words) up to which it is broadcast; beyond, the join is shuffled.
-BROADCAST_ROWS = 200_000
+#: Windows, and bytes of them and their items, up to which they are broadcast; beyond, the join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NO_WORD = ""
@@ -37,29 +37,42 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW, item_id: str = "item_
     return rows.select("item", F.explode(each).alias("window")).groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows; else as it is, and Spark shuffles."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def hits(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, key, n_words, start, length, items): a row for each occurrence of a window, and one with null start for each document."""
+    """(doc_id, key, n_words, start, length, items): a row for each occurrence of a window, and one with null start for each document.
+
+    Up to broadcast_rows windows, of BROADCAST_BYTES at most, go to every task, and documents aren't shuffled. Beyond, only
+    (document, place, word) meets the windows' rarest words, and the words of a document only its candidates."""
     windows = durable(item_windows(benchmark, size))
+    n, held = windows.agg(F.count("*"), F.sum(16 * F.size("items") + F.octet_length(F.array_join("window", " ")))).first()
+    small = n <= broadcast_rows and (held or 0) <= BROADCAST_BYTES
+    few = F.broadcast if small else lambda df: df
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("key"), words(F.col(text)).alias("words"))
-    counts = docs.select(F.explode("words").alias("word")).join(bounded(vocabulary, broadcast_rows), "word").groupBy("word").agg(F.count("*").alias("n"))
-    places = windows.select("window", "items", F.posexplode("window").alias("at", "word")).join(counts, "word", "left")
+    counts = docs.select(F.explode("words").alias("word")).join(few(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+    places = windows.select("window", "items", F.posexplode("window").alias("at", "word"))
+    places = places.join(F.broadcast(counts), "word", "left") if small else spread_join(places, counts, ["word"], "left")
     rarest = places.groupBy("window").agg(F.first("items").alias("items"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("least"))
     prefix = rarest.where("least.n > 0").select(F.col("least.word").alias("word"), F.col("least.at").alias("at"), "window", "items")
-    none = documents.sparkSession.range(1).select(F.lit(NO_WORD).alias("word"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast(prefix.schema["items"].dataType).alias("items"))
-    prefix = durable(prefix.unionByName(none))
-    # a word that no document has stands first, so that each document keeps a row
-    seen = docs.select("doc_id", "key", "words", F.posexplode(F.concat(F.array(F.lit(NO_WORD)), F.col("words"))).alias("place", "word"))
-    start = F.col("place") - 1 - F.col("at")
-    fits = (start >= 0) & (start + F.size("window") <= F.size("words"))
-    same = F.slice("words", start + 1, F.size("window")) == F.col("window")
-    found = seen.join(bounded(prefix, broadcast_rows), "word").where(F.col("window").isNull() | F.when(fits, same).otherwise(False))
-    return found.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), start.alias("start"), F.size("window").alias("length"), "items")
+    start = F.col("place") - F.col("at")
+    same = F.slice("words", F.col("start") + 1, F.size("window")) == F.col("window")
+    out = ["doc_id", "key", F.size("words").cast("long").alias("n_words"), "start", F.size("window").alias("length"), "items"]
+    if small:
+        none = documents.sparkSession.range(1).select(F.lit(NO_WORD).alias("word"), F.lit(1).alias("at"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast(prefix.schema["items"].dataType).alias("items"))
+        prefix = durable(prefix.unionByName(none))
+        # a word that no document has stands first, so that each document keeps a row
+        seen = docs.select("doc_id", "key", "words", F.posexplode(F.concat(F.array(F.lit(NO_WORD)), F.col("words"))).alias("place", "word"))
+        begin = F.col("place") - 1 - F.col("at")
+        fits = (begin >= 0) & (begin + F.size("window") <= F.size("words"))
+        equal = F.slice("words", begin + 1, F.size("window")) == F.col("window")
+        found = seen.join(F.broadcast(prefix), "word").where(F.col("window").isNull() | F.when(fits, equal).otherwise(False))
+        return found.withColumn("start", F.when(F.col("window").isNotNull(), begin)).select(*out)
+    seen = docs.select("doc_id", "key", F.size("words").alias("n"), F.posexplode("words").alias("place", "word"))
+    candidates = spread_join(seen, durable(prefix), ["word"]).withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") + F.size("window") <= F.col("n")))
+    candidates = candidates.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "start", "window", "items")
+    mine = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))
+    found = docs.dropDuplicates(["doc_id", "key"]).join(candidates, mine).where(same).select(*out)
+    alone = docs.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(None).cast(prefix.schema["items"].dataType).alias("items"))
+    return found.unionByName(alone)
 
 
 def decontamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
