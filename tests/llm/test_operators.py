@@ -593,7 +593,7 @@ PLACE, CHECK = {}, {}
 
 
 def test_likeness_comes_from_the_two_columns(spark):
-    """Where the two fingerprints can be peeled, near_edited and the digests returned are what they give; equal fingerprints give 1."""
+    """Where two fingerprints can be peeled, near_edited and near_next are what they give."""
     rng = random.Random(24)
     line = lambda: " ".join(words(rng, 5, 10**6)) + "."
     rows = []
@@ -609,10 +609,9 @@ def test_likeness_comes_from_the_two_columns(spark):
     for i, t in rows:
         r = out[i]
         n, m = len(units(t)), len(units(expected_edit(rows, i)))
-        assert (len(r["removed"]), len(r["added"])) == (len(units(t) - units(expected_edit(rows, i))), len(units(expected_edit(rows, i)) - units(t)))
         if (found := peeled(r["fingerprint"], r["edited_fingerprint"])) is not None:
             done += 1
-            assert found == [{k % 2**64 for k in r["removed"]}, {k % 2**64 for k in r["added"]}]
+            assert (len(found[0]), len(found[1])) == (len(units(t) - units(expected_edit(rows, i))), len(units(expected_edit(rows, i)) - units(t)))
             assert r["near_edited"] == pytest.approx((n - len(found[0])) / (m + len(found[0])))
         following = out.get(i + 1)
         if following and (found := peeled(r["fingerprint"], following["fingerprint"])) is not None:
