@@ -7,6 +7,9 @@ representative is paired with one of them only, the bucket's head (a star), so p
 square. Heads are drawn anew in each bucket, so that a document is compared with many others of a large group. Pairs are
 confirmed on full shingle sets, the likeliest of each document first, and then those that would still join two
 components. Where a bucket still holds several components, all its members meet again in finer buckets, of two bands.
+What then still shares a bucket but no component is compared pair by pair: documents connected by such buckets are a group,
+cut into blocks, and a task counts the common shingles of all pairs of two blocks at once, on full sets. So no pair that
+shares a bucket is left out, however large its group.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ PERCENT = 75
 BINS, BANDS = 128, 32
 #: Times that buckets of several components are cut finer, each time with another second band.
 ROUNDS = 3
+#: A block has an eighth of its group's documents, but within these bounds, and about so many shingles at most.
+BLOCK_ROWS, BLOCK_SHINGLES = (256, 1024), 1 << 19
+#: Shingles of more documents of two blocks than RARE are counted as products of matrices of so many columns.
+RARE, COLUMNS = 8, 512
 
 _probes: np.ndarray | None = None
 
@@ -154,6 +161,125 @@ def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return out.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).drop("_a", "_b")
 
 
+def hashed_sets(text: Column | str, size: int = SHINGLE) -> Column:
+    """The sorted distinct shingle hashes of each text, 8 bytes each."""
+
+    @F.arrow_udf("binary")
+    def hashed(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in column:
+            yield pa.array([s.astype("<u8").tobytes() for s in sets_of(texts, size)], pa.binary())
+        release_memory()
+
+    return hashed(text)
+
+
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of common hashes of each of the sets left with each of the sets right (places in sets)."""
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    begin = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
+    often = np.diff(np.append(begin, len(flat)))
+    place = np.full((2, len(sets)), -1, dtype=np.int64)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    out = np.zeros(len(left) * len(right), dtype=np.int32)
+    for k in np.unique(often[often <= RARE]).tolist():
+        i, j = (c.ravel() for c in np.indices((k, k)))
+        first = begin[often == k]
+        for at in range(0, len(first), max(1, (1 << 20) // k**2)):
+            rows = row[first[at : at + max(1, (1 << 20) // k**2), None] + np.arange(k)]
+            a, b = place[0, rows[:, i]].ravel(), place[1, rows[:, j]].ravel()
+            ok = (a >= 0) & (b >= 0)
+            cell, n = np.unique(a[ok] * len(right) + b[ok], return_counts=True)
+            out[cell] += n.astype(np.int32)
+    out = out.reshape(len(left), len(right))
+    first, n = begin[often > RARE], often[often > RARE]
+    for at in range(0, len(first), COLUMNS):
+        f, m = first[at : at + COLUMNS], n[at : at + COLUMNS]
+        entry = np.arange(int(m.sum())) + np.repeat(f - (np.cumsum(m) - m), m)
+        dense = np.zeros((len(sets), len(f)), dtype=np.float32)
+        dense[row[entry], np.repeat(np.arange(len(f)), m)] = 1
+        out += (dense[left] @ dense[right].T).astype(np.int32)
+    return out
+
+
+def linked_roots(sets: list[np.ndarray], side: np.ndarray, root: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of roots whose documents are linked, as many as are needed to connect them; side: 0 left, 1 right, 2 both."""
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    if not len(left) or not len(right):
+        return []
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    common = common_counts(sets, left, right).astype(np.int64)
+    linked = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
+    linked &= (root[left][:, None] != root[right][None, :]) & (n[left] > 0)[:, None] & (n[right] > 0)[None, :]
+    i, j = np.nonzero(linked)
+    pairs = np.unique(np.sort(np.stack((root[left[i]], root[right[j]]), axis=1), axis=1), axis=0)
+    out, up = [], {}
+    for a, b in pairs.tolist():
+        x, y = a, b
+        while x in up:
+            x = up[x]
+        while y in up:
+            y = up[y]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
+def cells(members: DataFrame, percent: int) -> DataFrame:
+    """(id, root, cell, side): the blocks of each group that have to be compared meet in cells. members: (id, n, root, group).
+
+    Pairs within the largest component of a group are left out, and those whose sizes alone rule out a link: sizes fall
+    into classes, each larger by 100 / percent and a bit, and only neighbouring classes are compared."""
+    most = members.groupBy("group", "root").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
+    base = 1.005 * 100 / max(1, percent)
+    rows = compact(spread_join(members, most, ["group"]).select("id", "n", "root", "group", (F.col("root") != F.col("largest")).alias("asks"), F.floor(F.log("n") / F.log(F.lit(base))).alias("class")))
+    unit = ["group", "asks", "class"]
+    size = F.least(F.greatest(F.ceil(F.col("rows") / 8), F.lit(BLOCK_ROWS[0])), F.lit(BLOCK_ROWS[1]))
+    units = rows.groupBy(*unit).agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    units = compact(units.select(*unit, F.greatest(F.ceil(F.col("rows") / size), F.ceil(F.col("n") / BLOCK_SHINGLES)).alias("blocks")))
+    left = units.where("asks").select("group", F.col("class").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
+    right = units.select("group", "asks", F.col("class").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    met = left.join(right, "group").where("abs(a - b) <= 1 and (not asks or a < b or a = b and i <= j)").withColumn("cell", F.xxhash64("group", "a", "i", "asks", "b", "j"))
+    end = lambda asks, c, block, side: F.struct(asks.alias("asks"), F.col(c).alias("class"), F.col(block).alias("block"), F.lit(side).alias("side"))
+    ends = F.when(F.expr("asks and a = b and i = j"), F.array(end(F.lit(True), "a", "i", 2))).otherwise(F.array(end(F.lit(True), "a", "i", 0), end(F.col("asks"), "b", "j", 1)))
+    ends = met.select("group", "cell", F.explode(ends).alias("e")).select("group", "cell", "e.*")
+    placed = spread_join(rows, units, unit).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    return spread_join(placed, ends, [*unit, "block"]).select("id", "root", "cell", "side")
+
+
+def all_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): roots that are linked by documents of one group, as many pairs as are needed to connect them."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, waiting, out = None, [], []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("cell", "side", "root", "set"))):
+                if row[0] != cell:
+                    out += compared(waiting)
+                    cell, waiting = row[0], []
+                waiting.append(row[1:])
+        out += compared(waiting)
+        for i in range(0, len(out), 100_000):
+            a, b = zip(*out[i : i + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        release_memory()
+
+    def compared(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+        if not rows:
+            return []
+        side, root, sets = zip(*rows)
+        return linked_roots([np.frombuffer(s, dtype="<u8") for s in sets], np.array(side), np.array(root, dtype=np.int64), percent)
+
+    spark = members.sparkSession
+    sets, path = stored(texts.join(members.select("id").distinct(), "id", "left_semi").select("id", hashed_sets(F.col("text"), size).alias("set")))
+    met = spread_join(cells(members, percent), sets, ["id"]).select("cell", "side", "root", "set")
+    out = compact(met.repartition("cell").sortWithinPartitions("cell").mapInArrow(found, "a bigint, b bigint"))
+    discard(spark, path)
+    return out
+
+
 def near_dedup(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each document.
 
@@ -184,10 +310,20 @@ def near_dedup(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     roots, _ = tried(roots, pairs.select("a", "b").join(first, ["a", "b"], "left_anti"))
     bands = classes.select(F.col("head").alias("id"), "bands")
     known = pairs.select("a", "b")
-    for i in range(1, rounds + 1):
+    for i in range(1, rounds + 2):
         mixed = compact(rooted(met.select(F.col("id").alias("a"), F.col("head").alias("b"), "band", "hash"), roots).select("band", "hash").distinct())
         if mixed.isEmpty():
             break
+        if i > rounds:
+            joint = spread_join(met, mixed, ["band", "hash"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
+            groups = components(joint)
+            groups = compact(groups.unionByName(groups.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("root", "group"))
+            sizes = classes.select(F.col("head").alias("id"), "n").distinct()
+            members = groups.join(sizes, "id").join(roots, "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"), "group")
+            links = all_links(compact(members), texts, size, percent)
+            if not links.isEmpty():
+                roots = components(links.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+            break
         finer = spread_join(members, mixed, ["band", "hash"]).join(bands, "id")
         finer = finer.select("id", "hash", F.element_at("bands", F.pmod(F.col("band") + i, F.lit(BANDS)) + 1).alias("other"))
         again = stars(finer, ["hash", "other"]).select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")).distinct()

@@ -745,6 +745,40 @@ def test_near_dedup_is_brute_force(spark, seed):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out} == brute_components(rows)
 
 
+def test_copies_linked_through_their_original_alone_are_found(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", (40, 64))
+    rng = random.Random(19)
+    base = words(rng, 228, 10**6)
+    rows = [(250, " ".join(base))]
+    for i in [*range(250), *range(251, 400)]:
+        at = {1} | {rng.randrange(30) + k for k in (8, 44, 80, 116, 152, 188)}
+        rows.append((i, " ".join(f"new{rng.random()}" if k in at else w for k, w in enumerate(base))))
+    sets = [shingle_set(t) for _, t in rows]
+    assert all(4 * len(s & sets[0]) >= 3 * len(s | sets[0]) for s in sets[1:])
+    assert not any(4 * len(s & t) >= 3 * len(s | t) for s in sets[1:30] for t in sets[30:])
+    assert {r["component_id"] for r in near_dedup.near_dedup(frame(spark, rows)).collect()} == {0}
+
+
+def test_common_counts_and_linked_roots_are_brute_force():
+    rng = np.random.default_rng(20)
+    pool = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))
+    sets = [np.sort(rng.choice(pool[: rng.integers(30, len(pool))], rng.integers(0, 30), replace=False)) for _ in range(60)]
+    left, right = np.arange(0, 40), np.arange(20, 60)
+    expected = [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+    assert near_dedup.common_counts(sets, left, right).tolist() == expected
+    sets += [np.append(sets[0], pool[-1:]), sets[1]]
+    pairs = near_dedup.linked_roots(sets, np.full(62, 2), np.arange(62), 75)
+    root = list(range(62))
+    for a, b in pairs:
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    for i in range(62):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if len(sets[i]) and len(sets[j]) and 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                assert root[i] == root[j]
+    assert root[61] == 1
+
+
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(14)
     for n in (3, 20, 400):
