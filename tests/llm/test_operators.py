@@ -65,6 +65,20 @@ def test_spliced_counts_of_the_word_tokenizer():
     assert token_counts.spliced_ids(tok, t, 600, 100) == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_whole_texts_are_counted_without_offsets():
+    tok = token_counts.load(BYTE)
+    rng = random.Random(21)
+    texts = ["", " ", "a\r\n\tb  é <|endoftext|> \u200b e\u0301", "x" * 3000, *(" ".join(words(rng, rng.randrange(1, 200))) for _ in range(50))]
+
+    class Fast:
+        encode_batch_fast = tok.encode_batch_fast
+
+        def encode_batch(self, *a, **b):
+            raise AssertionError("offsets are slow and not needed")
+
+    assert token_counts.count_tokens(Fast(), texts) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_token_counts(spark):
     tok = token_counts.load(BYTE)
     out = token_counts.token_counts(odd(spark), BYTE, limit=1000, chunk_chars=2000, overlap_chars=200).collect()
