@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -264,6 +264,66 @@ def test_recall_against_brute_force(spark):
     assert len(repeats) > 100 and all(covered[i] >= set(range(k, k + 50)) for i, k in repeats)
 
 
+def test_passages_whose_seeds_all_came_from_other_documents(spark):
+    """Two texts repeat a passage with an edit every eighth word, and each of its equal runs first stood in another text; few or many texts have one of the runs."""
+    rng = random.Random(23)
+    new = lambda n: words(rng, n, 10**9)
+    texts, expected, at = [], set(), 0
+    for holders in (1, 1, 1, 40):
+        p = new(80)
+        for k in range(0, 80, 8):
+            for _ in range(holders if k == 16 else 1):
+                texts.append((at, " ".join(new(60) + p[k : k + 7] + new(60))))
+                at += 1
+        for _ in range(2):
+            texts.append((at, " ".join(new(70) + [w if k % 8 < 7 else f"edited{at}{k}" for k, w in enumerate(p)] + new(70))))
+            at += 1
+        expected.add((at - 1, at - 2, 70, 79, 70, 79, 70))
+    for hot in (substring_dedup.HOT, 1):
+        out = substring_dedup.substring_dedup(frame(spark, texts), hot=hot).collect()
+        assert {(r["doc_id"], r["source_id"], r["start_word"], r["n_words"], r["source_start"], r["source_words"], r["n_equal"]) for r in out} == expected and len(out) == 4
+
+
+def test_texts_with_a_common_passage_are_connected(spark):
+    """Brute force: of all pairs of texts with 50 words in place of which at least 41 are equal, both are connected by the pairs found."""
+    rng = random.Random(24)
+    texts = near_copies(rng, 4)
+    parts = [words(rng, 60, 10**9) for _ in range(3)]
+    texts = [(i, " ".join(rng.sample(t.split(), len(t.split()) // 3) + [w for p in rng.sample(parts, 2) for w in [v if rng.random() > 0.1 else "edited" + v for v in p]] + t.split()[20:90])) for i, t in texts]
+    cut = {i: t.lower().split() for i, t in texts}
+    lead = {i: i for i in cut}
+
+    def find(i):
+        while lead[i] != i:
+            i = lead[i]
+        return i
+
+    for r in substring_dedup.substring_dedup(frame(spark, texts)).collect():
+        lead[find(r["doc_id"])] = find(r["source_id"])
+    n = 0
+    for i in cut:
+        for j in cut:
+            if i < j:
+                for d in range(-len(cut[i]) + 50, len(cut[j]) - 49):
+                    a, b = (cut[i], cut[j][d:]) if d >= 0 else (cut[i][-d:], cut[j])
+                    equal = np.cumsum([0, *(x == y for x, y in zip(a, b))])
+                    if len(equal) > 50 and (equal[50:] - equal[:-50]).max() >= 41:
+                        n += 1
+                        assert find(i) == find(j)
+                        break
+    assert n > 50
+
+
+def test_common_pairs_are_counted_like_multisets():
+    rng = np.random.default_rng(6)
+    rows = [rng.integers(0, 1 + k % 9, rng.integers(0, 40)).astype("<u4") for k in range(90)]
+    column = pa.array([r.view(np.uint8).reshape(-1, 4)[:, : substring_dedup.WORD_BYTES].tobytes() for r in rows], pa.binary())
+    pairs = [Counter(zip(r[:-1].tolist(), r[1:].tolist())) for r in rows]
+    left, right = np.arange(0, 60), np.arange(30, 90)
+    out = substring_dedup.common_pairs(column, left, right)
+    assert all(out[i, j] == sum((pairs[k] & pairs[m]).values()) for i, k in enumerate(left) for j, m in enumerate(right) if k != m)
+
+
 def test_segments_leave_no_passage_out():
     rng = np.random.default_rng(3)
     for _ in range(100):
