@@ -324,6 +324,54 @@ def test_common_pairs_are_counted_like_multisets():
     assert all(out[i, j] == sum((pairs[k] & pairs[m]).values()) for i, k in enumerate(left) for j, m in enumerate(right) if k != m)
 
 
+def test_pairs_without_a_passage_are_not_aligned(spark, monkeypatch):
+    """Of pairs with a common line of 30 words none gets slices of words, that with a passage does."""
+    rng = random.Random(25)
+    new = lambda n: words(rng, n, 10**9)
+    texts = []
+    for i in range(30):
+        line = new(60 if i == 7 else 30)
+        texts += [(2 * i + k, " ".join(new(70) + line + new(70))) for k in range(2)]
+    rows, sliced = [], substring_dedup.sliced
+
+    def counted(chains, *args):
+        if "sizes" in chains.columns and args[-1] != "tags":
+            rows.append(chains.count())
+        return sliced(chains, *args)
+
+    monkeypatch.setattr(substring_dedup, "sliced", counted)
+    out = substring_dedup.substring_dedup(frame(spark, texts)).collect()
+    assert [(r["doc_id"], r["source_id"], r["n_words"]) for r in out] == [(15, 14, 60)] and sum(rows) == 2  # once for either text
+
+
+def test_hopeless_chains_have_no_passage():
+    """Against alignment itself: chains on one diagonal or several, at the ends of texts and of slices."""
+    rng = np.random.default_rng(7)
+    left_out = kept = 0
+    for _ in range(600):
+        a = rng.integers(0, 10**6, rng.integers(20, 250)).astype(np.uint32)
+        b = np.where(rng.random(len(a)) < rng.choice([0.2, 0.5, 0.7, 0.9]), a, a + 10**6).astype(np.uint32)
+        for k in rng.integers(0, len(b), rng.integers(0, 3)).tolist():
+            b = np.insert(b, k, 5)
+        at = {tuple(a[i : i + 5].tolist()): i for i in range(len(a) - 4)}
+        seeds = [(at[w], j) for j in range(len(b) - 4) if (w := tuple(b[j : j + 5].tolist())) in at]
+        seeds = seeds[rng.integers(len(seeds)) :][: rng.integers(1, 40)] if seeds else []
+        if not seeds:
+            continue
+        p, q = np.array(seeds).T
+        x, y = rng.integers(0, 2, 2) * 7  # a slice that doesn't begin where its text does, and one that doesn't end there
+        ends = [np.array([len(a) + x + rng.integers(0, 2)]), np.array([len(b) + y + rng.integers(0, 2)])]
+        slices = [(c, np.array([0, len(c)]), np.array([f]), e) for c, f, e in ((a, x, ends[0]), (b, y, ends[1]))]
+        lost = substring_dedup.hopeless(*slices, p, q, np.array([len(p)]), np.array([0]), 5, 50, 0.75)
+        i, j, before, after = substring_dedup.align(a, b, p, q)
+        before &= not ((p[0] <= q[0] and x == 0) or (q[0] <= p[0] and y == 0))
+        after &= not ((len(a) - p[-1] <= len(b) - q[-1] and x + len(a) == ends[0][0]) or (len(b) - q[-1] <= len(a) - p[-1] and y + len(b) == ends[1][0]))
+        goes_on = before or after or substring_dedup.segments(i, j)
+        assert not (lost[0] and goes_on)
+        left_out, kept = left_out + int(lost[0]), kept + bool(goes_on)
+    assert left_out > 50 and kept > 50
+
+
 def test_segments_leave_no_passage_out():
     rng = np.random.default_rng(3)
     for _ in range(100):
