@@ -235,10 +235,12 @@ def shortest_paths(edges: DataFrame, nodes: DataFrame, every: int = 4) -> DataFr
 
 
 def path_measures(paths: DataFrame, n: int) -> DataFrame:
-    """(global_efficiency, avg_closeness, avg_path) of a graph of n nodes; closeness is scaled by the share that is reached."""
+    """(global_efficiency, avg_closeness, avg_path) of a graph of n nodes; closeness is scaled by the share that is reached. Without paths all are null.
+
+    try_divide, since the plan of a graph without edges has distances of 0 that are filtered out, and folds them before."""
     by_node = paths.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("k"), F.sum("dist").alias("s"))
-    close = by_node.agg((F.sum(F.col("k") * F.col("k") / F.col("s")) / F.lit(float((n - 1) * n))).alias("avg_closeness"))
-    rest = paths.agg((F.sum(1.0 / F.col("dist")) / F.lit(float(n * (n - 1)))).alias("global_efficiency"), F.avg("dist").alias("avg_path"))
+    close = by_node.agg((F.sum(F.try_divide(F.col("k") * F.col("k"), F.col("s"))) / F.lit(float((n - 1) * n))).alias("avg_closeness"))
+    rest = paths.agg((F.sum(F.try_divide(F.lit(1.0), "dist")) / F.lit(float(n * (n - 1)))).alias("global_efficiency"), F.avg("dist").alias("avg_path"))
     return rest.crossJoin(close).select("global_efficiency", "avg_closeness", "avg_path")
 
 

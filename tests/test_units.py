@@ -449,3 +449,8 @@ def test_nearest_triangles_are_the_nearest(spark):
     for i, p in enumerate(points):
         at = sum(r["w"] * xyz[r["old"]] for r in out if r["new"] == i)
         assert np.linalg.norm(at - p) == pytest.approx(geometry.barycentric(p, tri)[0].min(), abs=1e-9)
+
+
+def test_measures_of_a_graph_without_edges(spark):
+    nodes, edges = spark.createDataFrame([(i,) for i in range(4)], "node int"), spark.createDataFrame([], "i int, j int")
+    assert [tuple(r) for r in networks.path_measures(networks.shortest_paths(edges, nodes), 4).collect()] == [(None, None, None)]
