@@ -61,8 +61,11 @@ def correlation_edges(long: DataFrame, block: int = 512) -> DataFrame:
 
 
 def full_matrix(edges: DataFrame, diagonal: float = 1.0) -> DataFrame:
-    """All cells of a symmetric matrix from its upper triangle, the diagonal too."""
-    both = edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    """All cells of a symmetric matrix from its upper triangle, the diagonal too.
+
+    Both cells of an edge come from one row: sums that are made twice may differ in their last bit, and a threshold would part them."""
+    cell = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), "w")
+    both = edges.select(F.inline(F.array(cell("i", "j"), cell("j", "i"))))
     return both.unionByName(both.select("i").distinct().select("i", F.col("i").alias("j"), F.lit(diagonal).alias("w")))
 
 

@@ -451,6 +451,14 @@ def test_nearest_triangles_are_the_nearest(spark):
         assert np.linalg.norm(at - p) == pytest.approx(geometry.barycentric(p, tri)[0].min(), abs=1e-9)
 
 
+def test_both_cells_of_an_edge_are_equal(spark):
+    """Also where the edges' weights come out otherwise each time they are made, as sums do in their last bit when shuffles arrive in another order."""
+    other = F.udf(lambda w: w + np.random.default_rng().random(), "double").asNondeterministic()
+    edges = spark.createDataFrame([(i, j, 1.0) for i in range(5) for j in range(i + 1, 5)], "i int, j int, w double").withColumn("w", other("w"))
+    cells = {(r["i"], r["j"]): r["w"] for r in networks.full_matrix(edges).collect()}
+    assert len(cells) == 25 and all(cells[i, j] == cells[j, i] for i, j in cells) and all(cells[i, i] == 1.0 for i in range(5))
+
+
 def test_measures_of_a_graph_without_edges(spark):
     nodes, edges = spark.createDataFrame([(i,) for i in range(4)], "node int"), spark.createDataFrame([], "i int, j int")
     assert [tuple(r) for r in networks.path_measures(networks.shortest_paths(edges, nodes), 4).collect()] == [(None, None, None)]
