@@ -138,9 +138,9 @@ def triangles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def transitivity(measures: DataFrame) -> DataFrame:
-    """(transitivity): closed wedges among all, from triangles()."""
-    pairs = F.sum(F.col("degree") * (F.col("degree") - 1))
-    return measures.agg(F.coalesce(F.try_divide(2.0 * F.sum("triangles"), pairs.cast("double")), F.lit(0.0)).alias("transitivity"))
+    """(transitivity): closed wedges among all, from triangles(); NaN where there are none, null without nodes."""
+    pairs = F.sum(F.col("degree") * (F.col("degree") - 1)).cast("double")
+    return measures.agg(F.when(pairs == 0, float("nan")).otherwise(F.try_divide(2.0 * F.sum("triangles"), pairs)).alias("transitivity"))
 
 
 def assortativity(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -462,3 +462,11 @@ def test_both_cells_of_an_edge_are_equal(spark):
 def test_measures_of_a_graph_without_edges(spark):
     nodes, edges = spark.createDataFrame([(i,) for i in range(4)], "node int"), spark.createDataFrame([], "i int, j int")
     assert [tuple(r) for r in networks.path_measures(networks.shortest_paths(edges, nodes), 4).collect()] == [(None, None, None)]
+
+
+def test_transitivity_without_wedges(spark):
+    """As in SQL, 0 / 0; null without any node, and 0 where wedges are there and none is closed."""
+    nodes, measure = spark.createDataFrame([(i,) for i in range(4)], "node int"), lambda e, n: networks.transitivity(networks.triangles(spark.createDataFrame(e, "i int, j int"), n)).first()[0]
+    assert math.isnan(measure([], nodes)) and math.isnan(measure([(0, 1)], nodes))
+    assert measure([(0, 1), (1, 2)], nodes) == 0.0 and measure([(0, 1), (1, 2), (0, 2)], nodes) == 1.0
+    assert measure([], nodes.where("node < 0")) is None
