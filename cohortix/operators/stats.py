@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortix.functions import special
-from cohortix.shared import placed
+from cohortix.shared import durable
 
 
 def cohens_d(long: DataFrame) -> DataFrame:
@@ -85,21 +85,32 @@ def t_p_value(t: Column, df: Column) -> Column:
 def fdr(df: DataFrame, p: str = "p", q: str = "q", *by: str) -> DataFrame:
     """Benjamini-Hochberg q of each row's p: the least p m / rank among those no better, 1 at most; null p has null q, and doesn't count.
 
-    Without by, rows are ranked in ranges of p side by side, and each range takes the least of those after it."""
+    Equal p of a group have one q, that of the last rank, so distinct ones alone are ranked: in ranges of (by, p) side by side,
+    each of which takes the ranks before and the least after it from one row for each range and group. Every window runs
+    from its start on, as one towards the end takes the square of its rows."""
+    rows = durable(df)  # q is joined by p, which has to be the same number both times
     known = F.col(p).isNotNull()
-    if by:
-        of = Window.partitionBy(known, *by)
-        ranked = df.withColumn("_m", F.count(p).over(of)).withColumn("_rank", F.row_number().over(of.orderBy(p)))
-        least = F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(of.orderBy("_rank").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-        return ranked.withColumn(q, F.when(known, F.least(least, F.lit(1.0)))).drop("_m", "_rank")
-    ranked = placed(df.where(known), F.col(p))
-    m = ranked.agg(F.count("*").alias("_m"))
-    ranked = ranked.crossJoin(F.broadcast(m)).withColumn("_r", F.col(p) * F.col("_m") / (F.col("place") + 1))
-    after = ranked.groupBy("_part").agg(F.min("_r").alias("_r"))
-    after = after.select("_part", F.min("_r").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
-    inside = F.min("_r").over(Window.partitionBy("_part").orderBy("place").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    out = ranked.join(F.broadcast(after), "_part").withColumn(q, F.least(inside, F.col("_after"), F.lit(1.0)))
-    return out.select(*df.columns, q).unionByName(df.where(~known).select(*df.columns, F.lit(None).cast("double").alias(q)))
+    counts = rows.where(known).groupBy(*by, p).agg(F.count("*").alias("_c"))
+    ranged = durable(counts.repartitionByRange(*by, p).withColumn("_part", F.spark_partition_id()))
+    of, start = Window.partitionBy(*by), Window.unboundedPreceding
+    sizes = ranged.groupBy("_part", *by).agg(F.sum("_c").alias("_n"))
+    sizes = sizes.select("_part", *by, F.sum("_n").over(of).alias("_m"), (F.sum("_n").over(of.orderBy("_part").rowsBetween(start, Window.currentRow)) - F.col("_n")).alias("_before"))
+    inside = Window.partitionBy("_part", *by)
+    ranked = same_group(ranged, sizes, "_part", *by).withColumn("_rank", F.col("_before") + F.sum("_c").over(inside.orderBy(p).rowsBetween(start, Window.currentRow)))
+    ranked = ranked.select("_part", *by, p, (F.col(p) * F.col("_m") / F.col("_rank")).alias("_r"))
+    after = ranked.groupBy("_part", *by).agg(F.min("_r").alias("_r"))
+    after = after.select("_part", *by, F.min("_r").over(of.orderBy(F.desc("_part")).rowsBetween(start, -1)).alias("_after"))
+    least = F.min("_r").over(inside.orderBy(F.desc(p)).rowsBetween(start, Window.currentRow))
+    values = same_group(ranked.withColumn("_least", least), after, "_part", *by).select(*by, p, F.least("_least", "_after", F.lit(1.0)).alias(q))
+    out = same_group(rows.where(known), values, *by, p)
+    return out.select(*df.columns, q).unionByName(rows.where(~known).select(*df.columns, F.lit(None).cast("double").alias(q)))
+
+
+def same_group(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """left with the further columns of right's row of the same keys; null is a key as any other."""
+    other = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys]
+    return left.join(other, on).drop(*[f"_on_{k}" for k in keys])
 
 
 def one_sample_summary(long: DataFrame, covariates: DataFrame, names: list[str], mean: float = 0.0, mask: DataFrame | None = None) -> DataFrame:

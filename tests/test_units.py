@@ -470,3 +470,23 @@ def test_transitivity_without_wedges(spark):
     assert math.isnan(measure([], nodes)) and math.isnan(measure([(0, 1)], nodes))
     assert measure([(0, 1), (1, 2)], nodes) == 0.0 and measure([(0, 1), (1, 2), (0, 2)], nodes) == 1.0
     assert measure([], nodes.where("node < 0")) is None
+
+
+def test_false_discovery_by_group(spark):
+    """Ties, null p, null and small groups; without a window that runs to its end, which takes the square of a group's rows."""
+    rng = np.random.default_rng(44)
+    rows = [(i, "ab"[i % 2] if i % 7 else None, None if i % 11 == 0 else float(rng.integers(1, 60) / 100)) for i in range(400)] + [(400, "c", 0.5), (401, "d", None)]
+    df = spark.createDataFrame(rows, "id int, g string, p double")
+    for by in ((), ("g",)):
+        out = stats.fdr(df, "p", "q", *by)
+        assert "currentrow$(), unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+        got_q, groups = {r["id"]: r["q"] for r in out.collect()}, {}
+        for i, g, p in rows:
+            groups.setdefault(g if by else 0, []).append((p, i))
+        assert len(got_q) == len(rows)
+        for members in groups.values():
+            known, least = sorted((p, i) for p, i in members if p is not None), 1.0
+            assert all(got_q[i] is None for p, i in members if p is None)
+            for k, (p, i) in reversed(list(enumerate(known, 1))):
+                least = min(least, p * len(known) / k)
+                assert got_q[i] == pytest.approx(least, abs=1e-12)
