@@ -123,14 +123,40 @@ def one_sample_summary(long: DataFrame, covariates: DataFrame, names: list[str],
     return mask.select("feat").join(out, "feat", "left").na.fill(0.0)
 
 
+#: Pairs of features, with what is known of them, that are sent to all tasks at most, and cells of their matrix for each of them.
+MOST_PAIRS, SPARSE = 1_000_000, 8
+
+
+def paired(long: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(subject, i, j, x, y, further columns of pairs): both features' values of each subject, for each pair (i, j).
+
+    A subject's values are gathered once, and meet one another and the pairs, which are sent, in one task: what is shuffled
+    is the values, and not subjects x pairs. Pairs that are more than MOST_PAIRS or few of all those of their features
+    are joined in shuffles."""
+    pairs = durable(pairs)
+    ends = pairs.select("i").union(pairs.select("j")).distinct()
+    n = pairs.count()
+    if n > MOST_PAIRS or ends.count() ** 2 > SPARSE * n:
+        x, y = (long.select("subject", F.col("feat").alias(a), F.col("v").alias(b)) for a, b in ("ix", "jy"))
+        return x.join(pairs, "i").join(y, ["subject", "j"])
+    rows = long.where("subject is not null").join(F.broadcast(ends.select(F.col("i").alias("feat"))), "feat", "left_semi")
+    both = rows.groupBy("subject").agg(F.collect_list(F.struct("feat", "v")).alias("_all"))
+    for a, b in ("ix", "jy"):
+        both = both.withColumn("_one", F.explode("_all")).withColumns({a: F.col("_one.feat"), b: F.col("_one.v")}).drop("_one")
+    return both.drop("_all").join(F.broadcast(pairs), ["i", "j"])
+
+
+def with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows joined with facts of their pair (i, j), sent to all tasks where they are MOST_PAIRS at most, so that rows stay where they are."""
+    facts = durable(facts)
+    return rows.join(F.broadcast(facts) if facts.count() <= MOST_PAIRS else facts, ["i", "j"])
+
+
 def orthogonal_fit(long: DataFrame, pairs: DataFrame) -> DataFrame:
     """(i, j, slope, intercept, mx, my): total least squares of feature j on feature i for each pair (i, j).
 
     pairs name what is fitted; each pair's subjects meet in one aggregate with partial sums."""
-    x = long.select("subject", F.col("feat").alias("i"), F.col("v").alias("x"))
-    y = long.select("subject", F.col("feat").alias("j"), F.col("v").alias("y"))
-    both = x.join(pairs, "i").join(y, ["subject", "j"])
-    facts = both.groupBy("i", "j").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_samp("x").alias("_xx"), F.var_samp("y").alias("_yy"), F.covar_samp("x", "y").alias("_xy"))
+    facts = paired(long, pairs).groupBy("i", "j").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_samp("x").alias("_xx"), F.var_samp("y").alias("_yy"), F.covar_samp("x", "y").alias("_xy"))
     d = F.col("_yy") - F.col("_xx")
     slope = F.try_divide(d + F.sqrt(d * d + 4 * F.col("_xy") * F.col("_xy")), 2 * F.col("_xy"))
     return facts.select("i", "j", slope.alias("slope"), "mx", "my").withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
@@ -138,11 +164,8 @@ def orthogonal_fit(long: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def orthogonal_distance(long: DataFrame, fits: DataFrame, centre: str = "data") -> DataFrame:
     """(subject, i, j, distance) of each subject to each fitted line, through the mean of the data (or of the fit)."""
-    x = long.select("subject", F.col("feat").alias("i"), F.col("v").alias("x"))
-    y = long.select("subject", F.col("feat").alias("j"), F.col("v").alias("y"))
-    both = x.join(fits, "i").join(y, ["subject", "j"])
     if centre == "data":
         means = long.groupBy("feat").agg(F.avg("v").alias("_m"))
-        both = both.drop("mx", "my").join(means.select(F.col("feat").alias("i"), F.col("_m").alias("mx")), "i").join(means.select(F.col("feat").alias("j"), F.col("_m").alias("my")), "j")
+        fits = fits.drop("mx", "my").join(means.select(F.col("feat").alias("i"), F.col("_m").alias("mx")), "i").join(means.select(F.col("feat").alias("j"), F.col("_m").alias("my")), "j")
     off = F.abs(F.col("y") - F.col("my") - F.col("slope") * (F.col("x") - F.col("mx"))) / F.sqrt(1 + F.col("slope") * F.col("slope"))
-    return both.select("subject", "i", "j", off.alias("distance"))
+    return paired(long, fits).select("subject", "i", "j", off.alias("distance"))

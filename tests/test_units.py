@@ -490,3 +490,40 @@ def test_false_discovery_by_group(spark):
             for k, (p, i) in reversed(list(enumerate(known, 1))):
                 least = min(least, p * len(known) / k)
                 assert got_q[i] == pytest.approx(least, abs=1e-12)
+
+
+def orthogonal_case(spark):
+    rng = np.random.default_rng(45)
+    values = {(s, f): float(v) for s, row in enumerate(rng.standard_normal((40, 6)) @ rng.standard_normal((6, 6))) for f, v in enumerate(row) if (s + f) % 9}
+    return values, spark.createDataFrame([(s, f, v) for (s, f), v in values.items()], "subject long, feat int, v double")
+
+
+def shuffled_joins(spark, make):
+    """Joins in shuffles that the plan of make() has where nothing is small enough to be sent by itself."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return make()._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_distances_to_orthogonal_lines(spark):
+    """As brute force, for all pairs and for few of them; subjects x pairs meet in no shuffle."""
+    values, df = orthogonal_case(spark)
+    few = spark.createDataFrame([(4, 1)], "i int, j int")
+    for pairs in (networks.feature_pairs(df), few):
+        fits = {(r["i"], r["j"]): r for r in stats.orthogonal_fit(df, pairs).collect()}
+        assert set(fits) == ({(i, j) for i in range(6) for j in range(i + 1, 6)} if pairs is not few else {(4, 1)})
+        out = {(r["subject"], r["i"], r["j"]): r["distance"] for r in stats.orthogonal_distance(df, stats.orthogonal_fit(df, pairs)).collect()}
+        mean = [np.mean([v for (_, f), v in values.items() if f == k]) for k in range(6)]
+        want = {(s, i, j) for i, j in fits for s in range(40) if (s, i) in values and (s, j) in values}
+        assert set(out) == want
+        for (i, j), r in fits.items():
+            x, y = (np.array([values[s, f] for s in range(40) if (s, i) in values and (s, j) in values]) for f in (i, j))
+            c = np.cov(x, y)
+            slope = (c[1, 1] - c[0, 0] + np.sqrt((c[1, 1] - c[0, 0]) ** 2 + 4 * c[0, 1] ** 2)) / (2 * c[0, 1])
+            assert r["slope"] == pytest.approx(slope) and r["intercept"] == pytest.approx(y.mean() - slope * x.mean())
+            for s in range(40):
+                if (s, i, j) in want:
+                    assert out[s, i, j] == pytest.approx(abs(values[s, j] - mean[j] - slope * (values[s, i] - mean[i])) / np.sqrt(1 + slope**2))
+    assert not shuffled_joins(spark, lambda: stats.orthogonal_distance(df, stats.orthogonal_fit(df, networks.feature_pairs(df))))
