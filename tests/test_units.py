@@ -527,3 +527,8 @@ def test_distances_to_orthogonal_lines(spark):
                 if (s, i, j) in want:
                     assert out[s, i, j] == pytest.approx(abs(values[s, j] - mean[j] - slope * (values[s, i] - mean[i])) / np.sqrt(1 + slope**2))
     assert not shuffled_joins(spark, lambda: stats.orthogonal_distance(df, stats.orthogonal_fit(df, networks.feature_pairs(df))))
+
+
+def test_group_differences_are_not_shuffled_by_pair(spark):
+    _, df = orthogonal_case(spark)
+    assert not shuffled_joins(spark, lambda: networks.group_difference(df, df.where("subject % 2 = 0").select("subject").distinct()))
