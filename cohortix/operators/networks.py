@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortix.functions import graphs
 from cohortix.shared import durable, kth_largest
 
-from .stats import orthogonal_distance, orthogonal_fit
+from .stats import orthogonal_distance, orthogonal_fit, with_facts
 
 
 def feature_pairs(long: DataFrame) -> DataFrame:
@@ -395,4 +395,4 @@ def significant_distances(distances: DataFrame, long: DataFrame, reference: Data
             yield pd.DataFrame({"i": b["i"], "j": b["j"], "p": special.pearson_p(b["w"], np.full(len(b), n))})
 
     p = correlation_edges(group).mapInPandas(with_p, "i int, j int, p double")
-    return distances.join(p, ["i", "j"]).withColumn("distance", F.when(F.col("p") <= p_threshold, F.col("distance"))).drop("p")
+    return with_facts(distances, p).withColumn("distance", F.when(F.col("p") <= p_threshold, F.col("distance"))).drop("p")

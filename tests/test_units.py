@@ -532,3 +532,15 @@ def test_distances_to_orthogonal_lines(spark):
 def test_group_differences_are_not_shuffled_by_pair(spark):
     _, df = orthogonal_case(spark)
     assert not shuffled_joins(spark, lambda: networks.group_difference(df, df.where("subject % 2 = 0").select("subject").distinct()))
+
+
+def test_significance_is_sent_to_the_distances(spark):
+    """p of pairs meets the distances where they are, and masks them."""
+    _, df = orthogonal_case(spark)
+    group = df.where("subject % 2 = 0").select("subject").distinct()
+    make = lambda: networks.significant_distances(networks.group_difference(df, group), df, group, 0.2)
+    assert not shuffled_joins(spark, make)
+    p = {(r["i"], r["j"]): special.pearson_p(np.array([r["w"]]), np.array([20]))[0] for r in networks.correlation_edges(df.where("subject % 2 = 0")).collect()}
+    rows = make().collect()
+    assert len(rows) == networks.group_difference(df, group).count() and 0 < sum(r["distance"] is None for r in rows) < len(rows)
+    assert all((r["distance"] is None) == (p[r["i"], r["j"]] > 0.2) for r in rows)
