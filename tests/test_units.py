@@ -544,3 +544,8 @@ def test_significance_is_sent_to_the_distances(spark):
     rows = make().collect()
     assert len(rows) == networks.group_difference(df, group).count() and 0 < sum(r["distance"] is None for r in rows) < len(rows)
     assert all((r["distance"] is None) == (p[r["i"], r["j"]] > 0.2) for r in rows)
+
+
+def test_orthogonal_fits_are_not_shuffled_by_subject(spark):
+    _, df = orthogonal_case(spark)
+    assert not shuffled_joins(spark, lambda: stats.orthogonal_fit(df, networks.feature_pairs(df)))
