@@ -9,10 +9,11 @@ and sent to the tasks, where they have at most MOST_DESIGN numbers; else each ta
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from cohortix.shared import durable
 
 #: Subjects and covariates are held by every task: at most so many numbers.
 MOST_DESIGN = 20_000_000
+#: Values of a block that are scored at once.
+AT_ONCE = 1 << 19
 
 
 @dataclass
@@ -175,33 +178,44 @@ def missing_values(long: DataFrame, subjects: DataFrame) -> DataFrame:
 def scored(long: DataFrame, d: Design, n_perm: int, seed: int = 0, use_z: bool = False, most_values: int = 4_000_000, statistic: str = "v") -> DataFrame:
     """(perm, feat, v) of every feature, observed (perm 0) and permuted; statistic v or t; use_z: as normal scores.
 
-    A block of features holds most_values values at most. A feature without a value for each subject of the design is an
+    A block of features holds most_values values at most, 8 bytes each, which arrive in batches and are scored AT_ONCE at a time, so
+    that a task's memory is that of the block, not several times it. A feature without a value for each subject of the design is an
     error, as a missing target can't be permuted."""
     kind = {"v": v_scores, "t": t_scores}[statistic]
     spark = long.sparkSession
     orders = d.orders(n_perm, seed)
     sent = spark.sparkContext.broadcast((d, orders))
 
-    def score(block: pd.DataFrame) -> pd.DataFrame:
+    width = max(1, min(4096, most_values // max(1, len(d.subjects))))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, orders = sent.value
-        at = pd.Series(np.arange(len(d.subjects)), index=d.subjects)
-        feats, column = np.unique(block["feat"].to_numpy(), return_inverse=True)
-        y = np.full((len(d.subjects), len(feats)), np.nan)
-        y[at.loc[block["subject"]].to_numpy(), column] = block["v"].to_numpy(dtype=float)
-        if np.isnan(y).any():
-            raise ValueError(f"feature {feats[np.isnan(y).any(axis=0)][0]} has missing values; drop these subjects or features first")
-        rest = y - d.basis @ (d.basis.T @ y)
-        out = []
+        y, first, seen = np.full((width, len(d.subjects)), np.nan), 0, np.zeros(width, dtype=bool)
+        for b in batches:  # d.subjects are sorted, and hold all of these
+            feat, v = b.column("feat").to_numpy(), b.column("v").to_numpy(zero_copy_only=False)
+            if len(feat):
+                first = int(feat[0]) // width * width
+                y[feat - first, np.searchsorted(d.subjects, b.column("subject").to_numpy())] = v
+                seen[feat - first] = True
+        columns = np.flatnonzero(seen)
+        bad = [int(k) for k in columns if np.isnan(y[k]).any()]
+        if bad:
+            raise ValueError(f"feature {first + bad[0]} has missing values; drop these subjects or features first")
+        step = max(1, AT_ONCE // max(1, len(d.subjects)))
+        parts = [columns[i : i + step] for i in range(0, len(columns), step)]
+        for part in parts:
+            y[part] -= (d.basis @ (d.basis.T @ y[part].T)).T
         for p in range(n_perm + 1):
             o = orders[p] if orders is not None else d.signs(p, seed) if d.flips else d.order(p, seed)
-            v, df = kind(rest * o[:, None] if d.flips else rest[o], d)
-            out.append(pd.DataFrame({"perm": np.int32(p), "feat": feats.astype(np.int32), "v": special.g_to_z(v, df) if use_z else v}))
-        return pd.concat(out)
+            for part in parts:
+                rest = y[part].T
+                v, df = kind(rest * o[:, None] if d.flips else rest[o], d)
+                v = np.asarray(special.g_to_z(v, df) if use_z else v, dtype=float)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), p, dtype=np.int32)), pa.array((first + part).astype(np.int32)), pa.array(v, from_pandas=True)], ["perm", "feat", "v"])
 
-    width = max(1, min(4096, most_values // max(1, len(d.subjects))))
     known = F.broadcast(spark.createDataFrame([(int(s),) for s in d.subjects], "subject bigint"))  # bounded with the design
-    rows = long.join(known, "subject", "left_semi").select("subject", "feat", "v", F.floor(F.col("feat") / width).alias("_block"))
-    return rows.groupBy("_block").applyInPandas(lambda f: score(f), "perm int, feat int, v double")
+    rows = long.join(known, "subject", "left_semi").select("subject", "feat", F.col("v").cast("double").alias("v"), F.floor(F.col("feat") / width).alias("_block"))
+    return rows.groupBy("_block").applyInArrow(score, "perm int, feat int, v double")
 
 
 def null_maxima(scores: DataFrame, two_sided: bool = True) -> DataFrame:

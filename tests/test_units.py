@@ -549,3 +549,25 @@ def test_significance_is_sent_to_the_distances(spark):
 def test_orthogonal_fits_are_not_shuffled_by_subject(spark):
     _, df = orthogonal_case(spark)
     assert not shuffled_joins(spark, lambda: stats.orthogonal_fit(df, networks.feature_pairs(df)))
+
+
+def test_blocks_are_scored_a_part_at_a_time(spark, monkeypatch):
+    """Scores are those of the whole matrix, and no more than AT_ONCE values of a block are scored at once."""
+    most, plain = permutation.AT_ONCE, permutation.v_scores
+
+    def v_scores(y, d):
+        assert y.size <= most
+        return plain(y, d)
+
+    monkeypatch.setattr(permutation, "v_scores", v_scores)
+    subjects = spark.range(300).select(F.col("id").alias("subject"), (F.col("id") * 37 % 101 / 10).alias("x"), (F.col("id") % 3).alias("b"))
+    value = F.pmod(F.xxhash64("subject", "feat"), F.lit(1009)) / 1009 + F.col("subject") % 7
+    df = spark.range(300).select(F.col("id").alias("subject")).crossJoin(spark.range(2000).select(F.col("id").cast("int").alias("feat"))).withColumn("v", value)
+    d = permutation.design(subjects, "x", [], None, "b")
+    assert 300 * 2000 > most
+    got_v = {(r["perm"], r["feat"]): r["v"] for r in permutation.scored(df, d, 2, seed=3).collect()}
+    rows = df.where("feat in (0, 1, 1023, 1999)").toPandas().pivot(index="subject", columns="feat", values="v")
+    y = rows.to_numpy() - rows.to_numpy().mean(axis=0)
+    assert len(got_v) == 3 * 2000
+    for p in range(3):
+        assert [got_v[p, f] for f in rows.columns] == pytest.approx(plain(y[d.order(p, 3)], d)[0].tolist())
