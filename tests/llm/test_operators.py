@@ -945,3 +945,26 @@ def test_pipeline(spark, tmp_path):
     named = {i for i, (_, root, keep) in brute_components(list(lined.items())).items() if keep}
     dirty = {d for d, _, n_hit, *_ in brute_hits([(i, lined[i]) for i in named], [(1, " ".join(item))]) if n_hit}
     assert kept == named - dirty and {21, 22, 23, 20, 25}.isdisjoint(kept) and 24 in kept
+
+
+def test_meetings_of_common_seeds_go_in_parts(spark, monkeypatch):
+    """Blocks of a common line's holders meet in parts, one after the other, with the same rows."""
+    rng = np.random.default_rng(46)
+    words = [f"w{k}" for k in range(5000)]
+    line = " ".join(rng.choice(words, 12))
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(60)]
+    passages = [" ".join(rng.choice(words, 55)) for _ in range(5)]
+    rows = [(i, f"{t[:900]} {passages[i % 5] + ' ' if i % 2 else ''}{line} {t[900:]}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(substring_dedup, "BLOCK_ROWS", 5)
+    run = lambda: sorted(tuple(r) for r in substring_dedup.substring_dedup(df).collect())
+    parts, whole, plain = [], run(), substring_dedup.alike
+
+    def alike(*args):
+        out = plain(*args)
+        parts.append(len(out[1]))
+        return out
+
+    monkeypatch.setattr(substring_dedup, "LEAST_SLICES", 1)
+    monkeypatch.setattr(substring_dedup, "alike", alike)
+    assert run() == whole and len(whole) > 20 and parts[0] > 1
